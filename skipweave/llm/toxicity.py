@@ -27,7 +27,8 @@ TRAINING_ROWS = 12_000
 MODEL_TOKENS = 50_000
 #: Weight of the prior, as a share of each token's count in all training documents.
 PRIOR = 0.05
-#: Least z of a log-odds that is kept.
+#: Least log-odds that is kept, and least z; weaker tokens are left to chance.
+LEAST_ODDS = 3.0
 LEAST_Z = 2.5
 #: What a token without a log-odds of its own takes from a segment.
 DRIFT = 0.1
@@ -89,8 +90,7 @@ class Model:
     def passages(self, text: str, memo: Memo) -> tuple[list[str], list[tuple[int, int, float, float]]]:
         """The words, and of each significant segment its words' span, score and -log E: at under one such segment
         expected by chance in a text of this length."""
-        words = _words(text)
-        scores = np.fromiter(map(memo.__getitem__, words), float, len(words))
+        words, scores = token_scores(text, memo)
         if not scores.any():
             return words, []
         chance = self.log_k + np.log(len(words))
@@ -104,6 +104,16 @@ class Model:
         return self.calibrate(np.array([self.features(s, memo) for s in texts], float).reshape(-1, 3))
 
 
+def token_scores(text: str, memo: Memo) -> tuple[list[str], np.ndarray]:
+    """The words and their log-odds; a word that follows itself counts once."""
+    words = _words(text)
+    scores = np.fromiter(map(memo.__getitem__, words), float, len(words))
+    for i in np.flatnonzero((scores[1:] > 0) & (scores[1:] == scores[:-1])).tolist():
+        if words[i] == words[i + 1]:
+            scores[i + 1] = 0.0
+    return words, scores
+
+
 def _token_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: in how many toxic and other documents each token and stem stands."""
     counts = (Counter(), Counter())
@@ -129,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     prior = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR)
     counts = counts.withColumn("odds", F.log((F.col("toxic") + prior) / n_toxic) - F.log((F.col("clean") + prior) / n_clean))
     counts = counts.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
-    kept = counts.where((F.col("z") >= LEAST_Z) & (F.col("odds") > 1)).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).select("token", "odds", "clean", "toxic").collect()
+    kept = counts.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).select("token", "odds", "clean", "toxic").collect()
     model = Model({r.token: r.odds for r in kept}, 1.0, 0.0)
 
     rest = _profile(seen.where("fold = 2").select("text", "y"), model)
@@ -153,8 +163,7 @@ def _profile(rows: DataFrame, model: Model) -> list[dict]:
         for batch in slices(batches):
             out = []
             for text in texts_of(batch):
-                words = _words(text)
-                scores = np.fromiter(map(memo.__getitem__, words), float, len(words))
+                words, scores = token_scores(text, memo)
                 out.append((len(words), sorted((s for *_, s in segments(scores, DRIFT)), reverse=True)[:64]))
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n_words": pa.array([n for n, _ in out], pa.int64()), "scores": pa.array([s for _, s in out], pa.list_(pa.float64()))})
 
