@@ -25,8 +25,8 @@ TRAINING_ROWS = 8_000
 BLOCKS_PER_TEXT = 4
 #: Texts are compressed in blocks of so many bytes, so that the dictionary counts to the end of a long one.
 BLOCK = 2048
-DICTIONARY = 64 << 10
-LEVEL = 1
+DICTIONARY = 112 << 10
+LEVEL = 3
 
 
 def blocks(data: bytes) -> list[bytes]:
@@ -40,9 +40,8 @@ class Model:
     calibrate: Logistic | None = None
 
     def compressors(self) -> tuple:
-        raw = lambda d: zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         slim = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_dict_id=0)
-        return tuple(zstandard.ZstdCompressor(compression_params=slim, dict_data=raw(d)) if d else zstandard.ZstdCompressor(compression_params=slim) for d in (self.good, self.bad, b""))
+        return tuple(zstandard.ZstdCompressor(compression_params=slim, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(compression_params=slim) for d in (self.good, self.bad, b""))
 
     @staticmethod
     def features(text: str, compressors: tuple) -> tuple[float, float, float]:

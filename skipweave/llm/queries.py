@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity
-from .common import table
+from . import bpe_codec, fingerprints, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity
+from .common import shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -29,9 +30,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe_codec.encode_texts(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -42,7 +49,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.segments(token_output.pack_matrices(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op9_bpe_codec, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op7_fingerprints, op9_bpe_codec, op10_token_output)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {}
