@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprints, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity
-from .common import shared_dir, table
+from . import bpe_codec, fingerprints, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity, warc
+from .common import fresh_dir, shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_archives(table(spark, sf_dir, "pages"), fresh_dir(spark, "warc"))
+    return warc.records(warc.read_archives(files, files.count()))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared_dir(spark)
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
@@ -49,7 +54,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.segments(token_output.pack_matrices(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op7_fingerprints, op9_bpe_codec, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op6_warc, op7_fingerprints, op9_bpe_codec, op10_token_output)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {}
