@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprints, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity, warc
+from . import bpe_codec, fingerprints, near_dedup, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity, warc
 from .common import fresh_dir, shared_dir, table
 
 
@@ -44,6 +44,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_dir(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe_codec.encode_texts(table(spark, sf_dir, "documents"))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -54,7 +59,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.segments(token_output.pack_matrices(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op6_warc, op7_fingerprints, op9_bpe_codec, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op6_warc, op7_fingerprints, op8_near_dedup, op9_bpe_codec, op10_token_output)}
 
 #: DuckDB SQL of those queries that SQL can express.
 ORACLES: dict[str, str] = {}
