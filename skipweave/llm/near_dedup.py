@@ -66,7 +66,7 @@ def labelled_shingles(text: str, memo: Memo) -> np.ndarray:
         if same.any():
             at = np.arange(n)
             nth = at - np.maximum.accumulate(np.where(same, 0, at))
-            rolled[order] = mix(ranked + nth.astype(np.uint64) * _ODD[1])
+            rolled[order] = np.where(nth > 0, mix(ranked + nth.astype(np.uint64) * _ODD[1]), ranked)
     return rolled
 
 
