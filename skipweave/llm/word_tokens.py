@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 
+from .bpe import byte_alphabet
 from .common import Memo
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -19,8 +20,11 @@ END = 2
 class WordTokens:
     """The vocabulary drops white space and never joins across it, so each chunk between spaces can be encoded alone."""
 
-    #: The vocabulary's own split, for chunks of ASCII characters.
-    split = staticmethod(re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall)
+    #: Chunks that are their own NFC form, are lowered character by character and hold no number but 0 to 9.
+    plain = staticmethod(re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f]+").fullmatch)
+    #: The vocabulary's own split, for such chunks.
+    split = staticmethod(re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall)
+    shown = {b: c for c, b in byte_alphabet().items()}
 
     def __init__(self, path: str = VOCABULARY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,13 +32,15 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.piece, self.chunk = Memo(self._piece, 100_000), Memo(self._chunk, 300_000)
+        self.piece, self.chunk = Memo(self._piece, 250_000), Memo(self._chunk, 500_000)
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.shown)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+        if self.plain(chunk) and "<|" not in chunk:
             return b"".join(map(self.piece.__getitem__, self.split(chunk.lower())))
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
