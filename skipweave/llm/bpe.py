@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import json
 import struct
+from bisect import bisect_left, bisect_right
 from pathlib import Path
 
 from .common import Memo
@@ -34,7 +35,7 @@ class Vocabulary:
     merges: (left id, right id) -> (order, merged id).
     """
 
-    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]] | None = None):
+    def __init__(self, tokens: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
         self.tokens, self.bytes_of = tokens, {i: b for b, i in tokens.items()}
         self.merges = merges
         self.spines: dict[int, tuple | None] = {}
@@ -54,14 +55,14 @@ class Vocabulary:
     def from_ranks(cls, path: str) -> Vocabulary:
         """A rank file: any two neighbours whose bytes together are a token may merge, the lowest id first."""
         rows = (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())
-        return cls({base64.b64decode(a): int(b) for a, b in rows})
-
-    def merge(self, a: int, b: int) -> tuple[int, int] | None:
-        """Order and result of merging two neighbours."""
-        if self.merges is not None:
-            return self.merges.get((a, b))
-        whole = self.tokens.get(self.bytes_of[a] + self.bytes_of[b])
-        return None if whole is None else (whole, whole)
+        tokens = {base64.b64decode(a): int(b) for a, b in rows}
+        merges = {}
+        for whole, order in tokens.items():
+            for k in range(1, len(whole)):
+                a, b = tokens.get(whole[:k]), tokens.get(whole[k:])
+                if a is not None and b is not None:
+                    merges[a, b] = (order, order)
+        return cls(tokens, merges)
 
     def spine(self, token: int) -> tuple | None:
         """How the token grows from its bytes: for its left edge and for its right edge, the rows (symbol, time it
@@ -74,7 +75,7 @@ class Vocabulary:
         symbols = [self.tokens[bytes([b])] for b in self.bytes_of[token]]
         left, right, clock = [[symbols[0], -1]], [[symbols[-1], -1]], -1
         while len(symbols) > 1:
-            found = [(m[0], k, m[1]) for k in range(len(symbols) - 1) if (m := self.merge(symbols[k], symbols[k + 1]))]
+            found = [(m[0], k, m[1]) for k in range(len(symbols) - 1) if (m := self.merges.get((symbols[k], symbols[k + 1])))]
             if not found:
                 return None
             order, k, whole = min(found)
@@ -101,10 +102,11 @@ class Vocabulary:
         return known
 
     def _follows(self, a: int, b: int) -> bool:
+        merges, edge = self.merges, self.spine(b)[0]
         for x, x_from, x_to in self.spine(a)[1]:
-            for y, y_from, y_to in self.spine(b)[0]:
-                if x_from <= y_to and y_from <= x_to and (m := self.merge(x, y)):
-                    at = max(m[0], x_from, y_from)
+            for y, y_from, y_to in edge:
+                if (x, y) in merges and x_from <= y_to and y_from <= x_to:
+                    at = max(merges[x, y][0], x_from, y_from)
                     if at < x_to and at <= y_to:
                         return False
         return True
@@ -194,14 +196,32 @@ class PrefixCounts:
 
 class Transducer:
     """Bytes in, token ids out. A state is the last token given out and the bytes since; a token is given out as soon as
-    every reading of the bytes to come agrees on it, so at most the longest token's length is held back."""
+    every reading of the bytes to come agrees on it, so at most the longest token's length is held back. States whose
+    last tokens bar the same tokens from following are one state."""
 
-    def __init__(self, vocabulary: Vocabulary, cap: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, cap: int = 500_000):
         self.vocabulary, self.endings, self.cap = vocabulary, Endings(vocabulary), cap
+        self.sorted = sorted(vocabulary.tokens)
         self._clear()
 
+    def _barred(self, anchor: int, held: bytes) -> int | tuple[int, ...]:
+        """Which longer tokens that begin with `held` may not follow anchor; anchor itself where there are many such."""
+        if not held or held[-1] == 255:
+            return anchor
+        first, end = bisect_right(self.sorted, held), bisect_left(self.sorted, held[:-1] + bytes([held[-1] + 1]))
+        if end - first > self.MOST_LONGER:
+            return anchor
+        if anchor < 0:
+            return ()
+        v, pairs = self.vocabulary, self.vocabulary.pairs
+        longer = [v.tokens[b] for b in self.sorted[first:end]]
+        return tuple(t for t in longer if v.spine(t) is not None and not (v.follows(anchor, t) if (fits := pairs.get((anchor, t))) is None else fits))
+
+    #: Longer tokens that are compared to tell states apart, at most.
+    MOST_LONGER = 48
+
     def _clear(self) -> None:
-        self.ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
+        self.ids: dict[tuple, int] = {(b"", (), -1): 0}
         #: Anchor, bytes held, their last tokens by end, the ends of the tokens before each end as bits, state in endings.
         self.states: list[tuple] = [(-1, b"", (), (1,), 0)]
         self.arcs: dict[int, tuple[int, bytes]] = {}
@@ -244,7 +264,7 @@ class Transducer:
         if sure:
             out = self._write(last, shared)
             anchor, held, last, ends = last[sure - 1], held[sure:], last[sure:], tuple(e >> sure for e in ends[sure:])
-        key = (anchor, held)
+        key = (held, last, self._barred(anchor, held))
         known = self.ids.get(key)
         if known is None:
             known = self.ids[key] = len(self.states)
@@ -278,13 +298,13 @@ class Pieces:
     goes over the pieces one by one.
     """
 
-    def __init__(self, of_piece, join, cap: int = 300_000):
+    def __init__(self, of_piece, join, cap: int = 450_000):
         import re
 
         import regex
 
         self.split_any, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
-        self.join, self.piece = join, Memo(lambda p: of_piece(p.encode("utf-8", "replace")), cap // 2)
+        self.join, self.piece = join, Memo(lambda p: of_piece(p.encode("utf-8", "replace")), cap // 16)
         self.chunk = Memo(self._chunk, cap)
 
     def pieces(self, text: str) -> list[str]:

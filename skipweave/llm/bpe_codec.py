@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -71,15 +72,12 @@ class Codec:
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
-    def decode_stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
+    def decode_stream(self, ids: Iterable[int], chunk: int = 16_384) -> Iterator[str]:
         """The text of the ids, in parts, from `chunk` tokens at a time."""
-        stream, held = Utf8Stream(), []
-        for i in ids:
-            held.append(i)
-            if len(held) == chunk:
-                yield stream.feed(self.decode_bytes(held))
-                held = []
-        yield stream.feed(self.decode_bytes(held)) + stream.close()
+        stream, ids = Utf8Stream(), iter(ids)
+        while held := list(islice(ids, chunk)):
+            yield stream.feed(self.decode_bytes(held))
+        yield stream.close()
 
 
 @lru_cache(2)
