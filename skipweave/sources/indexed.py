@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from ..column import Column
 from ..functions import bits
 from ..functions.binning import Bins
+from ..operators.scan import Range
 from ..operators.signature import Signatures
 from ..types import resolve
 
@@ -117,8 +119,11 @@ class SignatureSource(DataSource):
         return SignatureReader(self.options["path"])
 
 
-def read_indexed(spark: SparkSession, folder: str) -> DataFrame:
-    """(pos, v) of a saved column; put a filter on v to read candidate blocks only."""
+def read_indexed(spark: SparkSession, folder: str, wanted: Range) -> DataFrame:
+    """The qualifying rows (pos, v) of a saved column, from candidate blocks only.
+
+    Each call loads anew: Spark keeps what a filter planned with a loaded frame, so one frame must serve one filter.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SignatureSource)
-    return spark.read.format(FORMAT).option("path", folder).load()
+    return spark.read.format(FORMAT).option("path", folder).load().where(wanted.holds(F.col("v")))

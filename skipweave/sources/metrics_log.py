@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 END = "end of run"
 UNSUPPORTED = r"^type .* not supported"
 
-CREATE = T.StructType.fromDDL("label string, exp string, bins int, blocksize int, time_creation_usec bigint, data_size_bytes bigint, type_size_bytes int, vectors_size_bytes bigint, records bigint")
-QUERY = T.StructType.fromDDL("label string, exp string, query int, bins int, blocksize int, result_size bigint, selectivity double, query_time bigint, records bigint")
+#: Fields of the lines and their types.
+CREATE = {
+    "label": "string", "exp": "string", "bins": "int", "blocksize": "int", "time_creation_usec": "bigint", "data_size_bytes": "bigint",
+    "type_size_bytes": "int", "vectors_size_bytes": "bigint", "records": "bigint",
+}
+QUERY = {
+    "label": "string", "exp": "string", "query": "int", "bins": "int", "blocksize": "int", "result_size": "bigint", "selectivity": "double",
+    "query_time": "bigint", "records": "bigint",
+}
 
 
 def lines_of(df: DataFrame, kind: str, run: str) -> DataFrame:
@@ -19,14 +25,14 @@ def lines_of(df: DataFrame, kind: str, run: str) -> DataFrame:
     return df.select(F.lit(run).alias("run"), F.concat(F.lit(f"{kind} "), fields).alias("line"))
 
 
-def parse(lines: DataFrame, schema: T.StructType, kind: str) -> DataFrame:
+def parse(lines: DataFrame, fields: dict[str, str], kind: str) -> DataFrame:
     """(run_no, fields) of a kind's lines. lines: (line_no, value) in the order of the file; runs are numbered by the end
     lines before them. A field that a line lacks is null."""
     kept = lines.where(~F.col("value").rlike(UNSUPPORTED))
     ends = F.sum((F.col("value") == END).cast("int")).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     own = kept.withColumn("run_no", ends).where(F.col("value").startswith(f"{kind} "))
-    field = lambda f: F.expr(f"try_cast(nullif(regexp_extract(value, '(?:^| ){f.name}=([^ ]*)', 1), '') as {f.dataType.simpleString()})").alias(f.name)
-    return own.select("file", "run_no", *(field(f) for f in schema.fields))
+    field = lambda f: F.expr(f"try_cast(nullif(regexp_extract(value, '(?:^| ){f}=([^ ]*)', 1), '') as {fields[f]})").alias(f)
+    return own.select("file", "run_no", *(field(f) for f in fields))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
