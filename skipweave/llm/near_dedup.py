@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_dir, slices, texts_of
+from .common import Memo, fresh_dir, release, slices, texts_of
 from .components import connected_components
 
 #: Words of a shingle and least similarity of a link.
@@ -27,8 +27,13 @@ SIMILARITY = 0.8
 #: (1 - 0.8 ** 3) ** 16, one in 100,000.
 BANDS = 16
 PICKED = 3
-#: Sketches whose candidates are verified before the rest, which then skip what is already in one class.
-FIRST_BANDS = 4
+#: Sketches whose candidates are verified in the first rounds; each round skips what is already in one class.
+SLICES = ((0, 2), (2, 6), (6, BANDS))
+#: Members that each text outside its bucket's largest class is compared with in each of the last rounds.
+LEADERS = 8
+#: Slots of the bitmap that tells texts with company from most others: 8 MB at most, whatever the corpus.
+SLOTS = 1 << 26
+SLOTS_PER_ROW = 1 << 15  # fixed by bitmap_construct_agg
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -135,16 +140,40 @@ def buckets(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.posexplode("sketches").alias("band", "sketch"), classes.alias("classes")).select("id", "band", "sketch", F.explode("classes").alias("size_class"))
 
 
-def candidates(members: DataFrame, salt: int) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's leader, a member chosen anew for each band and salt. As many
-    pairs as members, whatever the bucket's size; leaders are found by partial aggregation."""
+def candidates(members: DataFrame, salt: int, others: DataFrame | None = None, leaders: int = 1) -> DataFrame:
+    """(a, b): each of the others (all members, if None) with its bucket's leaders, members chosen anew for each band and
+    salt. At most `leaders` pairs for each row, whatever the bucket's size; leaders are found by partial aggregation."""
     key = ["band", "size_class", "sketch"]
     lot = F.struct(F.xxhash64("id", "band", F.lit(salt)).alias("h"), F.col("id").alias("leader"))
-    leaders = members.groupBy(*key).agg(F.min(lot).alias("first")).select(*key, F.col("first.leader").alias("leader"))
-    pairs = members.join(leaders, key).where("id <> leader")
+    part = F.pmod(F.xxhash64("id", F.lit(salt), F.lit("part")), F.lit(leaders)).alias("part")
+    chosen = members.groupBy(*key, part).agg(F.min(lot).alias("first")).select(*key, F.col("first.leader").alias("leader"))
+    pairs = (members if others is None else others).join(chosen, key).where("id <> leader")
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
+def outside_main_class(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of each bucket that are not in its largest class, which a leader of that class seldom resembles."""
+    key = ["band", "size_class", "sketch"]
+    classed = members.join(roots, members["id"] == roots["node"], "left").select(*key, "id", F.coalesce("root", "id").alias("root"))
+    sizes = classed.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(*key).agg(F.max(F.struct("n", "root")).alias("main")).select(*key, F.col("main.root").alias("main"))
+    return classed.join(main, key).where("root <> main").select(*members.columns)
+
+
+def likely_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose id is not among wanted; a filter ahead of a join that shuffles texts.
+
+    A bitmap of the wanted ids' hashes is broadcast; it has SLOTS bits at most, and when too full it only lets more rows
+    through to the join.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    bitmap = wanted.select(slot.alias("slot")).groupBy(F.expr(f"slot div {SLOTS_PER_ROW}").alias("part")).agg(F.expr(f"bitmap_construct_agg(slot % {SLOTS_PER_ROW})").alias("bits"))
+    placed = rows.withColumn("slot", slot).withColumn("part", F.expr(f"slot div {SLOTS_PER_ROW}"))
+    byte = F.expr(f"cast(conv(hex(substr(bits, cast(slot % {SLOTS_PER_ROW} div 8 as int) + 1, 1)), 16, 10) as int)")
+    inside = F.call_function("shiftright", byte, F.expr("cast(slot % 8 as int)")).bitwiseAND(F.lit(1)) == 1
+    return placed.join(F.broadcast(bitmap), "part").where(inside).select(*rows.columns)
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose texts (id, text) are similar."""
 
@@ -167,8 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts (also null and empty ones, which have no words) are one text throughout. In each bucket of a sketch the
     texts are compared with one leader, first over a few sketches, then over all with other leaders among texts that are
-    still in different classes, until a round links nothing new. So no bucket's pairs are ever listed, and none is
-    capped. Rows with equal ids are classed by their texts, and the texts of one id count as linked. A row without an id
+    still in different classes (with LEADERS leaders for those outside the bucket's largest class), until a round links
+    nothing new. So no bucket's pairs are ever listed, and none is capped. Rows with equal ids are classed by their texts, and the texts of one id count as linked. A row without an id
     gets the class of its copies that have one, else null; it links nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -181,27 +210,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = shared.checkpoint()
 
     folder = fresh_dir(spark, "near-dedup")
-    wanted = shared.select("id").distinct()
     # the texts that have company, once; repeated rows of a document fall together
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
-    texts.distinct().write.parquet(f"{folder}/texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    wanted = shared.select("id").distinct()
+    likely_among(texts, wanted).join(wanted, "id", "left_semi").distinct().write.parquet(f"{folder}/texts")
     texts = spark.read.schema("id long, text string").parquet(f"{folder}/texts")
 
-    roots = links = None
-    salt = 0
+    roots = tried = None
+    turn = 0
     while True:
-        pairs = candidates(shared.where(F.col("band") < FIRST_BANDS) if salt == 0 else shared, salt)
+        last = turn >= len(SLICES)
+        low, high = (0, BANDS) if last else SLICES[turn]
+        pairs = candidates(shared.where((F.col("band") >= low) & (F.col("band") < high)), turn)
+        if last and roots is not None:
+            pairs = pairs.union(candidates(shared, turn, outside_main_class(shared, roots), LEADERS)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         if roots is not None:
             of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
             pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        pairs = pairs.checkpoint()
+        tried = pairs if tried is None else tried.union(pairs)
         found = verify(pairs, texts).checkpoint()
-        new = found.count()
-        if new:
-            links = found if links is None else links.union(found)
-            roots = connected_components(links).checkpoint()
-        if salt and not new:
+        linked = not found.isEmpty()
+        if linked:
+            known = found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = connected_components(known)
+        if last and not linked:
             break
-        salt += 1
+        turn += 1
+        release(spark)
     classes = copies.select("key", F.col("id").alias("copy_of"))
     if roots is not None:
         classes = classes.join(roots, F.col("copy_of") == F.col("node"), "left").select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
