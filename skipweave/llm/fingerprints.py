@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 #: 64-bit words of a fingerprint.
 WORDS = 4
 #: Order ranges that next_texts() sorts apart, at most.
@@ -42,6 +44,7 @@ def groups(docs: DataFrame) -> DataFrame:
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """(hash, group_id, group_size, n_texts) by hash, from groups(); small rows without texts, checkpointed."""
     by_hash = groups(docs).groupBy("hash").agg(F.min("group_id").alias("group_id"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("n_texts"))
+    shared_dir(docs.sparkSession)
     return by_hash.checkpoint()
 
 

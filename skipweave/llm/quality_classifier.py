@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Logistic
-from .common import held_out, slices, texts_of, training_texts
+from .common import held_out, shared_dir, slices, texts_of, training_texts
 
 #: Labelled rows that the model is fitted on, at most: half of them (by a hash) for the dictionaries, half to calibrate.
 TRAINING_ROWS = 8_000
@@ -88,6 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     The samples sent to the driver are bounded by rows * BLOCKS_PER_TEXT * BLOCK bytes. Without labelled rows, or with
     rows of one label only, every score is the smoothed share of that label.
     """
+    shared_dir(docs.sparkSession)
     seen = training_texts(docs, labels, "quality", rows).select("doc_id", "text", "y").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2))).checkpoint()
     samples = seen.where("fold = 0").select("text", "y").mapInArrow(_samples, "y int, sample binary").collect()
     model = Model(*(dictionary([bytes(r.sample) for r in samples if r.y == y]) for y in (1, 0)))

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, fingerprints, near_dedup, packing, quality_classifier, quality_rules, token_counts, token_output, toxicity, warc
-from .common import fresh_dir, shared_dir, table
+from .common import fresh_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -30,7 +29,6 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -40,12 +38,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -120,15 +120,19 @@ class Source:
 
     def __init__(self, stream):
         self.stream, self.gzip, self.raw, self.held, self.ended = stream, zlib.decompressobj(wbits=31), b"", b"", False
+        self.begun = False  # whether the current member has given bytes
 
     def _more(self) -> bool:
         """Adds some bytes to those held, never more than READ at once."""
         while not self.ended:
             if self.gzip.eof:
-                self.raw, self.gzip = self.gzip.unused_data, zlib.decompressobj(wbits=31)
+                self.raw, self.gzip, self.begun = self.gzip.unused_data, zlib.decompressobj(wbits=31), False
             self.raw = self.raw or self.stream.read(READ)
             data = self.gzip.decompress(self.raw, READ)  # at the end of the file, what the decompressor still holds
+            self.begun = self.begun or bool(self.raw)
             self.ended = not self.raw and not data
+            if self.ended and self.begun and not self.gzip.eof:
+                raise ValueError("the file ends within a record")
             self.raw = b"" if self.gzip.eof else self.gzip.unconsumed_tail
             if data:
                 self.held += data
