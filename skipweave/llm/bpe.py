@@ -199,7 +199,7 @@ class Transducer:
     every reading of the bytes to come agrees on it, so at most the longest token's length is held back. States whose
     last tokens bar the same tokens from following are one state."""
 
-    def __init__(self, vocabulary: Vocabulary, cap: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, cap: int = 400_000):
         self.vocabulary, self.endings, self.cap = vocabulary, Endings(vocabulary), cap
         self.sorted = sorted(vocabulary.tokens)
         self._clear()
@@ -298,7 +298,7 @@ class Pieces:
     goes over the pieces one by one.
     """
 
-    def __init__(self, of_piece, join, cap: int = 450_000):
+    def __init__(self, of_piece, join, cap: int = 400_000):
         import re
 
         import regex
