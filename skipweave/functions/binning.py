@@ -113,3 +113,10 @@ def bins_of(column: Column, most: int = 64) -> Bins:
 def equi_depth_bins(column: Column, bins: int = 64) -> Bins:
     counts = sample(column).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect()
     return Bins(tuple(equi_depth_bounds(sorted((r.v, r.n) for r in counts), bins, column.type)), column.type)
+
+
+def make_bins(column: Column, most: int = 64, histogram: str = "equidistinct") -> Bins:
+    """Bins by the named histogram: equal shares of the distinct sampled values, or of the sampled rows."""
+    if histogram not in ("equidistinct", "equidepth"):
+        raise ValueError(f"histogram {histogram}")
+    return bins_of(column, most) if histogram == "equidistinct" else equi_depth_bins(column, most)

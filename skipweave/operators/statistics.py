@@ -126,3 +126,14 @@ def storage(index: Signatures, runs: Runs, zones: Zonemap, bitmap_words: DataFra
     ]
     out = sizes[0].union(sizes[1]).union(sizes[2]).join(total)
     return out.select("path", "bytes", F.expr("bytes * 100 div total").alias("percent"))
+
+
+def bars(histogram: DataFrame, bins: int, height: int = 10) -> DataFrame:
+    """(row, bar): bin_histogram() as `height` rows of H marks, the highest first; a bin of n vectors out of at most m gets
+    ceil(height * n / m) marks."""
+    most = histogram.agg(F.max("n_vectors").alias("most"))
+    scaled = histogram.join(most).select("bin", F.ceil(F.col("n_vectors") * height / F.col("most")).alias("marks"))
+    marks = F.map_from_entries(F.collect_list(F.struct("bin", "marks")))  # a pair per bin, 256 at most
+    rows = scaled.agg(marks.alias("marks")).select("marks", F.explode(F.sequence(F.lit(height), F.lit(1))).alias("level"))
+    mark = lambda b: F.when(F.coalesce(F.element_at("marks", b), F.lit(0)) >= F.col("level"), "H").otherwise(" ")
+    return rows.select((height - F.col("level") + 1).alias("row"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), mark), "").alias("bar"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skipweave import types
 from skipweave.column import Column, coded_column, column, read_positions
 from skipweave.functions import bits
-from skipweave.functions.binning import Bins, bins_of, bounds_of, equi_depth_bounds
+from skipweave.functions.binning import Bins, bins_of, bounds_of, equi_depth_bounds, make_bins
 from skipweave.operators import bitmap, conjunction, runs, scan, signature, statistics, updates, zonemap
 from skipweave.operators.scan import Range
 from skipweave.plans import access, workload
@@ -274,3 +274,22 @@ def test_scan_is_pushed_down(spark, sf_dir):
     c = column(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_size", "p_partkey")
     plan = scan.qualifying(c, Range(3, 9))._jdf.queryExecution().toString()
     assert "GreaterThan(p_size,3)" in plan and "LessThanOrEqual(p_size,9)" in plan and "p_name" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("histogram", ["equidistinct", "equidepth"])
+@pytest.mark.parametrize("ends", ["(]", "[)", "[]", "()"])
+def test_any_histogram_and_ends(spark, histogram, ends):
+    values = [float(k * k % 211) for k in range(600)]
+    c = of(spark, values, "double")
+    index = signature.build_signatures(c, bins=make_bins(c, 64, histogram))
+    for low, high in ((9.0, 100.0), (100.0, 100.0), (-5.0, 1.0)):
+        wanted = Range(low, high, ends)
+        assert positions(index.positions(wanted)) == positions(zonemap.build_zonemap(c).positions(wanted)) == positions(scan.scan_positions(c, wanted))
+        assert index.count(wanted).first()[0] == scan.scan_count(c, wanted).first()[0]
+    with pytest.raises(ValueError):
+        make_bins(c, 64, "other")
+
+
+def test_bars(spark):
+    df = spark.createDataFrame([(0, 10), (2, 5)], "bin int, n_vectors bigint")
+    assert [r.bar for r in statistics.bars(df, 4, 2).orderBy("row").collect()] == ["H   ", "H H "]
