@@ -17,22 +17,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_dir, release, slices, texts_of
+from .common import Memo, release, shared_dir, slices, texts_of
 from .components import connected_components
 
 #: Words of a shingle and least similarity of a link.
 WORDS = 5
 SIMILARITY = 0.8
 #: Sketches of a text, and shingles of a sketch: texts as similar as SIMILARITY share none with a chance of about
-#: (1 - 0.8 ** 3) ** 16, one in 100,000.
-BANDS = 16
-PICKED = 3
-#: Sketches whose candidates are verified in the first rounds; each round skips what is already in one class.
-SLICES = ((0, 2), (2, 6), (6, BANDS))
-#: Members that each text outside its bucket's largest class is compared with in each of the last rounds.
-LEADERS = 8
-#: Slots of the bitmap that tells texts with company from most others: 8 MB at most, whatever the corpus.
-SLOTS = 1 << 26
+#: (1 - 0.8 ** 4) ** 20, one in 38,000.
+BANDS = 20
+PICKED = 4
+#: Sixteenths of the buckets that the first rounds take; each round skips what is already in one class.
+SLICES = ((0, 3), (3, 16))
+#: Members of a bucket that its other members are compared with in each of the last rounds, over all buckets.
+LEADERS = 4
+#: The last rounds end with one that links less than this share of the pairs that it aligns.
+LEAST_YIELD = 0.001
+#: Bytes of a text's profile, and the least similarity estimated from two profiles at which texts are aligned: over four
+#: standard deviations below SIMILARITY.
+PROFILE = 128
+LEAST_ESTIMATE = 0.65
+#: Slots of the bitmap that tells wanted texts from most others: 1 MB at most, whatever the corpus.
+SLOTS = 1 << 23
 SLOTS_PER_ROW = 1 << 15  # fixed by bitmap_construct_agg
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -46,10 +52,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[0])[:, None]
+_FACTORS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[1])[:, None] | np.uint64(1)
+_EDGES = np.arange(PROFILE, dtype=np.uint64) << np.uint64(57)
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 250_000)
+    return Memo(xxhash.xxh64_intdigest, 100_000)
 
 
 def labelled_shingles(text: str, memo: Memo) -> np.ndarray:
@@ -77,7 +85,7 @@ def labelled_shingles(text: str, memo: Memo) -> np.ndarray:
 
 def sketches(shingles: np.ndarray) -> np.ndarray:
     """A signed 64-bit sketch for each band: of the PICKED smallest shingles under its hash, in text order."""
-    values = mix(shingles[None, :] ^ _SEEDS)
+    values = (shingles[None, :] ^ _SEEDS) * _FACTORS
     picked = min(PICKED, len(shingles))
     at = np.argpartition(values, picked - 1, axis=1)[:, :picked] if picked < len(shingles) else np.broadcast_to(np.arange(picked), (BANDS, picked))
     at = np.sort(at, axis=1)
@@ -87,6 +95,22 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def profile(shingles: np.ndarray) -> bytes:
+    """One byte for each of PROFILE ranges of numbers: of the smallest shingle there, or 0 where there is none."""
+    ranked = np.sort(shingles)
+    at = np.searchsorted(ranked, _EDGES)
+    filled = at < np.r_[at[1:], len(ranked)]
+    out = np.zeros(PROFILE, np.uint8)
+    out[filled] = 1 + (ranked[at[filled]] >> np.uint64(24)) % np.uint64(255)
+    return out.tobytes()
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows of profiles: the share of equal bytes where either has one."""
+    either = ((a > 0) | (b > 0)).sum(1)
+    return ((a == b) & (a > 0)).sum(1) / np.maximum(1, either)
+
+
 def in_common(a: np.ndarray, b: np.ndarray) -> int:
     """Shingles of the longest common subsequence of two texts as similar as SIMILARITY; fewer for others.
 
@@ -116,50 +140,43 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, sketches): key names the sequence of words (128 bits), n counts shingles."""
+    """(doc_id, key, n, sketches, profile): key names the sequence of words (128 bits), n counts shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in slices(batches):
-            keys, counts, found = [], [], []
+            keys, counts, found, profiles = [], [], [], []
             for text in texts_of(batch):
                 shingles = labelled_shingles(text, memo)
                 keys.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode("utf-8", "replace").split())))
                 counts.append(len(shingles))
                 found.append(sketches(shingles) if len(shingles) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": keys, "n": pa.array(counts, pa.int32()), "sketches": pa.array(found, pa.list_(pa.int64()))})
+                profiles.append(profile(shingles))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": keys, "n": pa.array(counts, pa.int32()), "sketches": pa.array(found, pa.list_(pa.int64())), "profile": pa.array(profiles, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key string, n int, sketches array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key string, n int, sketches array<long>, profile binary")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(band, size_class, sketch, id): where each text meets others. Texts of sizes within a factor 1 / SIMILARITY share a
-    size class: that of log2 n, and the next for those just below it."""
+    """(id, root, bucket): where each text meets others, by sketch and size. Texts of sizes within a factor 1 / SIMILARITY
+    share a size class: that of log2 n, and the next for those just below it."""
     size = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     classes = F.when(F.col("n") / SIMILARITY >= F.pow(F.lit(2.0), size + 1) - 1e-9, F.array(size, size + 1)).otherwise(F.array(size))
-    return texts.select("id", F.posexplode("sketches").alias("band", "sketch"), classes.alias("classes")).select("id", "band", "sketch", F.explode("classes").alias("size_class"))
+    placed = texts.select("id", "root", F.posexplode("sketches").alias("band", "sketch"), classes.alias("classes")).select("id", "root", "band", "sketch", F.explode("classes").alias("size_class"))
+    return placed.select("id", "root", F.xxhash64("band", "size_class", "sketch").alias("bucket"))
 
 
-def candidates(members: DataFrame, salt: int, others: DataFrame | None = None, leaders: int = 1) -> DataFrame:
-    """(a, b): each of the others (all members, if None) with its bucket's leaders, members chosen anew for each band and
-    salt. At most `leaders` pairs for each row, whatever the bucket's size; leaders are found by partial aggregation."""
-    key = ["band", "size_class", "sketch"]
-    lot = F.struct(F.xxhash64("id", "band", F.lit(salt)).alias("h"), F.col("id").alias("leader"))
+def candidates(members: DataFrame, salt: int, leaders: int = 1) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's leaders of other classes (root), members chosen anew for each
+    bucket and salt. At most `leaders` pairs for each row, whatever the bucket's size; leaders are found by partial
+    aggregation, and a large bucket's rows can be split in the join."""
+    lot = F.xxhash64("id", "bucket", F.lit(salt))
     part = F.pmod(F.xxhash64("id", F.lit(salt), F.lit("part")), F.lit(leaders)).alias("part")
-    chosen = members.groupBy(*key, part).agg(F.min(lot).alias("first")).select(*key, F.col("first.leader").alias("leader"))
-    pairs = (members if others is None else others).join(chosen, key).where("id <> leader")
+    chosen = members.groupBy("bucket", part).agg(F.min_by("id", lot).alias("leader"), F.min_by("root", lot).alias("leader_root"))
+    pairs = members.join(chosen, "bucket").where("root <> leader_root")
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def outside_main_class(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of each bucket that are not in its largest class, which a leader of that class seldom resembles."""
-    key = ["band", "size_class", "sketch"]
-    classed = members.join(roots, members["id"] == roots["node"], "left").select(*key, "id", F.coalesce("root", "id").alias("root"))
-    sizes = classed.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy(*key).agg(F.max(F.struct("n", "root")).alias("main")).select(*key, F.col("main.root").alias("main"))
-    return classed.join(main, key).where("root <> main").select(*members.columns)
-
-
 def likely_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """rows without most of those whose id is not among wanted; a filter ahead of a join that shuffles texts.
 
@@ -174,8 +191,23 @@ def likely_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(bitmap), "part").where(inside).select(*rows.columns)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose texts (id, text) are similar."""
+def likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose profiles (id, profile) do not rule them out; spares fetching most unlike texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PROFILE) for c in ("profile_a", "profile_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(estimates(a, b) >= LEAST_ESTIMATE))
+
+    first = pairs.join(profiles.select(F.col("id").alias("a"), F.col("profile").alias("profile_a")), "a")
+    return first.join(profiles.select(F.col("id").alias("b"), F.col("profile").alias("profile_b")), "b").select("a", "b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose texts, among docs (id, text), are similar. Only texts of the pairs are shuffled."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = likely_among(docs, ids).join(ids, "id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_memo()
@@ -195,48 +227,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest with the same words in the same order. docs: doc_id and text, other columns are left out.
 
     Equal texts (also null and empty ones, which have no words) are one text throughout. In each bucket of a sketch the
-    texts are compared with one leader, first over a few sketches, then over all with other leaders among texts that are
-    still in different classes (with LEADERS leaders for those outside the bucket's largest class), until a round links
-    nothing new. So no bucket's pairs are ever listed, and none is capped. Rows with equal ids are classed by their texts, and the texts of one id count as linked. A row without an id
+    texts are compared with one leader, first over some buckets, then over the rest; then, over all buckets, those still in
+    other classes are compared with LEADERS other leaders, until a round links next to nothing (LEAST_YIELD). So no bucket's pairs are ever listed, and none is capped. Rows with equal ids are classed by their texts, and the texts of one id count as linked. A row without an id
     gets the class of its copies that have one, else null; it links nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    shared_dir(spark)
     rows = signatures(docs).checkpoint()
-    copies = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    copies = rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sketches", "profile")))
     copies = copies.checkpoint()
-    members = buckets(copies.where("id is not null and n > 0"))
-    key = ["band", "size_class", "sketch"]
-    shared = members.join(members.groupBy(*key).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts"), key)
-    shared = shared.checkpoint()
-
-    folder = fresh_dir(spark, "near-dedup")
-    # the texts that have company, once; repeated rows of a document fall together
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    wanted = shared.select("id").distinct()
-    likely_among(texts, wanted).join(wanted, "id", "left_semi").distinct().write.parquet(f"{folder}/texts")
-    texts = spark.read.schema("id long, text string").parquet(f"{folder}/texts")
+    # a document whose rows differ has several texts
+    texts = copies.where("id is not null and n > 0").select("id", "n", "sketches", "profile")
+    full = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     roots = tried = None
     turn = 0
     while True:
         last = turn >= len(SLICES)
-        low, high = (0, BANDS) if last else SLICES[turn]
-        pairs = candidates(shared.where((F.col("band") >= low) & (F.col("band") < high)), turn)
-        if last and roots is not None:
-            pairs = pairs.union(candidates(shared, turn, outside_main_class(shared, roots), LEADERS)).distinct()
+        classed = texts.withColumn("root", F.col("id")) if roots is None else texts.join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+        members = buckets(classed)
+        if not last:
+            part = F.pmod("bucket", F.lit(16))
+            members = members.where((part >= SLICES[turn][0]) & (part < SLICES[turn][1]))
+        pairs = candidates(members, turn, LEADERS if last else 1)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if roots is not None:
-            of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         pairs = pairs.checkpoint()
         tried = pairs if tried is None else tried.union(pairs)
-        found = verify(pairs, texts).checkpoint()
-        linked = not found.isEmpty()
+        close = likely(pairs, texts.select("id", "profile")).distinct().checkpoint()
+        found = verify(close, full).checkpoint()
+        linked, aligned = found.count(), close.count()
         if linked:
             known = found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             roots = connected_components(known)
-        if last and not linked:
+        if last and linked <= LEAST_YIELD * aligned:
             break
         turn += 1
         release(spark)
