@@ -30,9 +30,9 @@ PICKED = 4
 #: Sixteenths of the buckets that the first rounds take; each round skips what is already in one class.
 SLICES = ((0, 3), (3, 16))
 #: Members of a bucket that its other members are compared with in each of the last rounds, over all buckets.
-LEADERS = 4
+LEADERS = 8
 #: The last rounds end with one that links less than this share of the pairs that it aligns.
-LEAST_YIELD = 0.001
+LEAST_YIELD = 0.005
 #: Bytes of a text's profile, and the least similarity estimated from two profiles at which texts are aligned: over four
 #: standard deviations below SIMILARITY.
 PROFILE = 128
