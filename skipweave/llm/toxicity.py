@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Logistic
-from .common import Memo, held_out, slices, texts_of, training_texts
+from .common import Memo, held_out, shared_dir, slices, texts_of, training_texts
 
 #: Labelled rows that the model is fitted on, at most; the first two thirds give the log-odds, the rest the calibration.
 TRAINING_ROWS = 12_000
@@ -85,7 +85,7 @@ class Model:
         def score(word: str) -> float:
             return next((self.odds[k] for k in keys(normal(word)) if k in self.odds), 0.0)
 
-        return Memo(score, 200_000)
+        return Memo(score, 100_000)
 
     def passages(self, text: str, memo: Memo) -> tuple[list[str], list[tuple[int, int, float, float]]]:
         """The words, and of each significant segment its words' span, score and -log E: at under one such segment
@@ -131,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
 
     Without labelled rows, or with rows of one label only, every score is the smoothed share of that label.
     """
+    shared_dir(docs.sparkSession)
     seen = training_texts(docs, labels, "toxic", rows).select("text", "y").groupBy("text").agg(F.max("y").alias("y"))
     seen = seen.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(3))).checkpoint()
     counts = seen.where("fold < 2").select("text", "y").mapInArrow(_token_documents, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

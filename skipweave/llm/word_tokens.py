@@ -32,7 +32,7 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.piece, self.chunk = Memo(self._piece, 250_000), Memo(self._chunk, 500_000)
+        self.piece, self.chunk = Memo(self._piece, 120_000), Memo(self._chunk, 350_000)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
