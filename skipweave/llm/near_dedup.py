@@ -31,8 +31,11 @@ PICKED = 4
 SLICES = ((0, 3), (3, 16))
 #: Members of a bucket that its other members are compared with in each of the last rounds, over all buckets.
 LEADERS = 8
-#: The last rounds end with one that links less than this share of the pairs that it aligns.
+#: The rounds with leaders give way to remainder() with one that links at most this share of the pairs that it aligns.
 LEAST_YIELD = 0.005
+#: Members of a part of a bucket, and shingles of a part of the texts to align, on the average; tasks take two parts at once.
+PART_MEMBERS = 1024
+PART_SHINGLES = 1 << 16
 #: Bytes of a text's profile, and the least similarity estimated from two profiles at which texts are aligned: over four
 #: standard deviations below SIMILARITY.
 PROFILE = 128
@@ -204,22 +207,103 @@ def likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return first.join(profiles.select(F.col("id").alias("b"), F.col("profile").alias("profile_b")), "b").select("a", "b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose texts, among docs (id, text), are similar. Only texts of the pairs are shuffled."""
+def remainder(members: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(a, b, root_a, root_b): all pairs of members (id, root, bucket) that share a bucket but no class and that their
+    profiles do not rule out. Buckets are cut into parts of about PART_MEMBERS; each two parts, and each with itself, are
+    a cell whose pairs one task compares in memory, so only likely pairs are listed."""
+    mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    parts = F.ceil(F.col("size") / PART_MEMBERS).cast("int")
+    rows = members.join(mixed.select("bucket", parts.alias("parts")), "bucket").join(profiles, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "root", "profile")
+    cell = ["bucket", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for (_, low, high), table in cells(batches, cell):
+            part, ids, roots = (table.column(c).to_numpy() for c in ("part", "id", "root"))
+            found = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(-1, PROFILE)
+            for i in range(len(ids)) if low == high else np.flatnonzero(part == low):
+                rest = np.arange(i + 1, len(ids)) if low == high else np.flatnonzero(part == high)
+                rest = rest[roots[rest] != roots[i]]
+                if len(rest) and len(rest := rest[estimates(found[i : i + 1], found[rest]) >= LEAST_ESTIMATE]):
+                    one = np.array([[ids[i], roots[i]]]).repeat(len(rest), 0)
+                    two = np.stack([ids[rest], roots[rest]], 1)
+                    swap = (one[:, 0] > two[:, 0])[:, None]
+                    out.append(np.hstack([np.where(swap, two, one), np.where(swap, one, two)]))
+            if sum(map(len, out)) >= 50_000:
+                yield pairs_of(out)
+                out = []
+        if out:
+            yield pairs_of(out)
+
+    def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, root_a, b, root_b = np.unique(np.vstack(found), axis=0).T
+        return pa.RecordBatch.from_pydict({"a": a.copy(), "b": b.copy(), "root_a": root_a.copy(), "root_b": root_b.copy()})
+
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long, root_a long, root_b long").distinct()
+
+
+def cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each value of the named columns, by which the batches are sorted."""
+    kept: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(c).to_numpy() for c in names]
+        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            key = tuple(int(v[begin]) for v in values)
+            if kept and key != now:
+                yield now, pa.Table.from_batches(kept)
+                kept = []
+            now = key
+            kept.append(batch.slice(begin, end - begin))
+    if kept:
+        yield now, pa.Table.from_batches(kept)
+
+
+def verify(pairs: DataFrame, docs: DataFrame, mean: float) -> DataFrame:
+    """Links (a, b) among pairs (a, b, root_a, root_b) whose texts, among docs (id, text), are similar; enough of them to
+    lead wherever all would, as roots that already meet are not aligned again.
+
+    Texts are dealt into parts of about PART_SHINGLES (mean: shingles of a text), and a text is sent once to each cell of
+    two parts in which it has a pair, not once for each pair.
+    """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = likely_among(docs, ids).join(ids, "id").distinct()
+    parts = max(1, int(ids.count() * mean / PART_SHINGLES))
+    part = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("cell")), F.lit(parts))
+    placed = pairs.withColumn("cell", part("a") * parts + part("b"))
+    wanted = placed.select("cell", F.col("a").alias("id")).union(placed.select("cell", F.col("b").alias("id"))).distinct()
+    texts = likely_among(docs, ids).join(ids, "id").distinct().join(wanted, "id")
+    none = F.lit(None).cast("long")
+    rows = texts.select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("root_a"), none.alias("root_b"), "text")
+    rows = rows.unionByName(placed.select("cell", F.lit(1).alias("kind"), "a", "b", "root_a", "root_b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_memo()
-        shingles = Memo(lambda s: labelled_shingles(s, words), 128)
-        for batch in slices(batches, 256):
-            linked = [similar(shingles[x], shingles[y]) for x, y in zip(texts_of(batch, "text_a"), texts_of(batch, "text_b"))]
-            kept = batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-            if kept.num_rows:
-                yield kept
+        now, shingles, up = None, {}, {}
+
+        def top(x: int) -> int:
+            while (above := up.get(x, x)) != x:
+                up[x] = x = up.get(above, above)
+            return x
 
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return first.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        for batch in slices(batches):
+            links = []
+            for cell, kind, a, b, root_a, root_b, text in zip(*(batch.column(c).to_pylist() for c in ("cell", "kind", "a", "b", "root_a", "root_b", "text"))):
+                if cell != now:
+                    now, shingles, up = cell, {}, {}
+                if kind == 0:
+                    shingles.setdefault(a, []).append(labelled_shingles(text, words))
+                elif (x := top(root_a)) != (y := top(root_b)) and any(similar(s, t) for s in shingles[a] for t in shingles[b]):
+                    up[x] = y
+                    links.append((a, b))
+            if links:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,8 +312,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts (also null and empty ones, which have no words) are one text throughout. In each bucket of a sketch the
     texts are compared with one leader, first over some buckets, then over the rest; then, over all buckets, those still in
-    other classes are compared with LEADERS other leaders, until a round links next to nothing (LEAST_YIELD). So no bucket's pairs are ever listed, and none is capped. Rows with equal ids are classed by their texts, and the texts of one id count as linked. A row without an id
-    gets the class of its copies that have one, else null; it links nothing. An empty table gives no rows.
+    other classes are compared with LEADERS other leaders, until a round links next to nothing (LEAST_YIELD). These rounds
+    only save work: in the end all pairs that share a bucket and are still in different classes are compared (remainder),
+    so the classes do not depend on leaders or rounds. Rows with equal ids are classed by their texts, and the texts of one
+    id count as linked. A row without an id gets the class of its copies that have one, else null; it links nothing. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     shared_dir(spark)
@@ -240,12 +327,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = copies.where("id is not null and n > 0").select("id", "n", "sketches", "profile")
     full = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
+    mean = texts.agg(F.avg("n")).first()[0] or 1.0
     roots = tried = None
     turn = 0
+
+    def placed() -> DataFrame:
+        classed = texts.withColumn("root", F.col("id")) if roots is None else texts.join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+        return buckets(classed)
+
+    def joined(found: DataFrame) -> DataFrame:
+        return connected_components(found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
     while True:
         last = turn >= len(SLICES)
-        classed = texts.withColumn("root", F.col("id")) if roots is None else texts.join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
-        members = buckets(classed)
+        members = placed()
         if not last:
             part = F.pmod("bucket", F.lit(16))
             members = members.where((part >= SLICES[turn][0]) & (part < SLICES[turn][1]))
@@ -255,15 +350,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = pairs.checkpoint()
         tried = pairs if tried is None else tried.union(pairs)
         close = likely(pairs, texts.select("id", "profile")).distinct().checkpoint()
-        found = verify(close, full).checkpoint()
+        found = verify(close.select("a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b")), full, mean).checkpoint()
         linked, aligned = found.count(), close.count()
         if linked:
-            known = found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = connected_components(known)
-        if last and linked <= LEAST_YIELD * aligned:
-            break
+            roots = joined(found)
         turn += 1
         release(spark)
+        if last and linked <= LEAST_YIELD * aligned:
+            break
+    left = remainder(placed(), texts.select("id", "profile")).checkpoint()
+    found = verify(left, full, mean).checkpoint()
+    if found.count():
+        roots = joined(found)
+    release(spark)
     classes = copies.select("key", F.col("id").alias("copy_of"))
     if roots is not None:
         classes = classes.join(roots, F.col("copy_of") == F.col("node"), "left").select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))

@@ -133,6 +133,40 @@ def test_large_group_of_near_copies(spark):
     assert [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == slow_classes(texts)
 
 
+def family(n, edits, seed=9):
+    """Variants of one original, nearly all of whose shingles many share: large buckets, in which few pairs are similar."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        words = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(100), rng.randint(*edits)):
+            words[k] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def all_pairs_classes(texts):
+    """Of texts without repeated shingles: by near_dedup.similar(), which is held against brute force above, on all pairs."""
+    memo = near_dedup.word_memo()
+    shingles = [near_dedup.labelled_shingles(t, memo) for t in texts]
+    sets = [set(s.tolist()) for s in shingles]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 1.8 >= 0.799 * (len(sets[i]) + len(sets[j])) and near_dedup.similar(shingles[i], shingles[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root] if a != b else root
+    return root
+
+
+def test_hidden_pairs_of_a_large_family(spark):
+    texts = family(1000, (2, 4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = all_pairs_classes(texts)
+    assert 500 < len(set(want)) < 900
+    assert [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == want
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "alone"), (2, None), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
