@@ -41,6 +41,15 @@ def test_one_of_each_class_stays(steps):
     assert set(got) == want and len(got) == len(want) and steps[3].columns == steps[0].columns
 
 
+def test_one_of_each_class_of_a_large_family_stays(spark):
+    from test_dedup import all_pairs_classes, family
+
+    texts = family(1000, (2, 4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(all_pairs_classes(texts)))
+
+
 def test_all_kept_tokens_are_packed(steps):
     own = word_tokens.word_tokens(word_tokens.VOCABULARY)
     want = {r.doc_id: len(own.encode(r.text or "")) // 4 for r in steps[3].collect()}
