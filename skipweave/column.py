@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import types
 
@@ -19,6 +20,8 @@ class Column:
     name: str
 
     _n: int | None = None
+    #: (pos, v, raw): the rows with the stored value that v was made from, and its type.
+    stored: tuple[DataFrame, T.DataType] | None = None
 
     @property
     def n(self) -> int:
@@ -26,12 +29,22 @@ class Column:
             self._n = self.rows.count()
         return self._n
 
+    def between(self, low, high) -> DataFrame:
+        """rows without some of those whose values lie outside low..high; the comparison reaches the Parquet reader."""
+        if self.stored is None:
+            return self.rows
+        df, field = self.stored
+        for limit, holds in zip(types.raw_limits(field, low, high), (F.col("raw").__ge__, F.col("raw").__le__)):
+            if limit is not None:
+                df = df.where(holds(limit))
+        return df.select("pos", "v")
+
 
 def column(df: DataFrame, value: str, pos: str) -> Column:
     """The column `value` of df, whose unique key `pos` runs from 0 to n-1. Null and NaN values keep their position."""
     field = df.schema[value].dataType
-    rows = df.select(F.col(pos).cast("bigint").alias("pos"), types.value_of(F.col(value), field).alias("v"))
-    return Column(rows, types.of_field(field), value)
+    rows = df.select(F.col(pos).cast("bigint").alias("pos"), types.value_of(F.col(value), field).alias("v"), F.col(value).alias("raw"))
+    return Column(rows.select("pos", "v"), types.of_field(field), value, stored=(rows, field))
 
 
 def coded_column(df: DataFrame, value: str, pos: str) -> tuple[Column, DataFrame]:

@@ -28,7 +28,7 @@ def words_of(bits: int, bins: int) -> list[int]:
 def bit(bin_no: Column, word: int) -> Column:
     """The word with bit bin_no set, or 0 where that bit is in another word; null for a null bin."""
     inside = F.call_function("shiftleft", F.lit(1).cast("bigint"), bin_no % 64)
-    return F.when(bin_no.isNotNull(), F.when(F.floor(bin_no / 64) == word, inside).otherwise(F.lit(0).cast("bigint")))
+    return F.when(bin_no.isNotNull(), F.when(F.call_function("shiftright", bin_no, F.lit(6)) == word, inside).otherwise(F.lit(0).cast("bigint")))
 
 
 def any_common(names: Sequence[str], words: Sequence[int]) -> Column:
@@ -83,5 +83,5 @@ def bins_set(columns: Sequence[Column], bins: int) -> Column:
 def _is_set(columns: Sequence[Column], b: Column) -> Column:
     out = F.lit(False)
     for k, c in enumerate(columns):
-        out = out | ((F.floor(b / 64) == k) & (F.call_function("shiftright", c, (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1))
+        out = out | ((F.call_function("shiftright", b, F.lit(6)) == k) & (F.call_function("shiftright", c, (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1))
     return out

@@ -44,7 +44,7 @@ def point(value) -> Range:
 
 def qualifying(column: Column, wanted: Range) -> DataFrame:
     """(pos, v) of the rows that qualify; null and NaN never do. The predicate reaches the Parquet scan."""
-    return column.rows.where(wanted.holds(F.col("v")))
+    return column.between(wanted.low, wanted.high).where(wanted.holds(F.col("v")))
 
 
 def scan_count(column: Column, wanted: Range) -> DataFrame:

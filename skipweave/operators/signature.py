@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..column import Column, block_id
 from ..functions import bits
 from ..functions.binning import Bins, bins_of
-from .scan import Range
+from .scan import Range, qualifying
 from .zonemap import FULL, PARTIAL, SKIP
 
 
@@ -38,26 +40,36 @@ class Signatures:
 
     def classify(self, wanted: Range) -> DataFrame:
         """blocks with a verdict: skip, full (no value needs a check) or partial. Blocks without values are skipped."""
+        return self.blocks.withColumn("verdict", self.verdict(wanted))
+
+    def verdict(self, wanted: Range) -> SparkColumn:
         outer, inner = self.masks(wanted)
-        verdict = F.when(~bits.any_common(self.words, outer), SKIP).when(bits.all_within(self.words, inner), FULL).otherwise(PARTIAL)
-        return self.blocks.withColumn("verdict", verdict)
+        return F.when(~bits.any_common(self.words, outer), SKIP).when(bits.all_within(self.words, inner), FULL).otherwise(PARTIAL)
 
-    def rows(self, wanted: Range, *verdicts: str) -> DataFrame:
-        """The column's rows in blocks of the given verdicts (pos, v, block_id)."""
-        blocks = self.classify(wanted).where(F.col("verdict").isin(*verdicts)).select("block_id")
-        return self.column.rows.withColumn("block_id", block_id(self.values_per_block)).join(blocks, "block_id", "left_semi")
+    def rows(self, wanted: Range) -> DataFrame:
+        """The qualifying rows (pos, v), looked for in candidate blocks only; the range reaches the Parquet reader too."""
+        blocks = self.classify(wanted).where(F.col("verdict") != SKIP).select("block_id")
+        return qualifying(self.column, wanted).withColumn("block_id", block_id(self.values_per_block)).join(blocks, "block_id", "left_semi").select("pos", "v")
 
     def count(self, wanted: Range) -> DataFrame:
-        """Values of full blocks are counted from the index; rows of partial blocks are read and checked."""
-        full = self.classify(wanted).agg(F.sum(F.when(F.col("verdict") == FULL, F.col("n_values"))).alias("n"))
-        partial = self.rows(wanted, PARTIAL).where(wanted.holds(F.col("v"))).agg(F.count(F.lit(1)).alias("n"))
-        return full.union(partial).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        """Values of full blocks are counted from the index, those of partial blocks are read and checked: one pass over the
+        blocks, which meet the qualifying values of each block, counted where they are read."""
+        found = qualifying(self.column, wanted).groupBy(block_id(self.values_per_block).alias("block_id")).agg(F.count(F.lit(1)).alias("hits"))
+        n = F.when(F.col("verdict") == FULL, F.col("n_values")).when(F.col("verdict") == PARTIAL, F.col("hits"))
+        return self.classify(wanted).where(F.col("verdict") != SKIP).join(found, "block_id", "left").agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"))
+
+    def counts(self, ranges: Sequence[Range]) -> DataFrame:
+        """A row of counts n0, n1, ... of several ranges, by one pass over the blocks and one over the rows."""
+        hits = [F.count_if(r.holds(F.col("v"))).alias(f"h{k}") for k, r in enumerate(ranges)]
+        found = self.column.rows.groupBy(block_id(self.values_per_block).alias("block_id")).agg(*hits)
+        n = [F.when(self.verdict(r) == FULL, F.col("n_values")).when(self.verdict(r) == PARTIAL, F.col(f"h{k}")) for k, r in enumerate(ranges)]
+        return self.blocks.join(found, "block_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"n{k}") for k, c in enumerate(n)))
 
     def positions(self, wanted: Range) -> DataFrame:
-        return self.rows(wanted, FULL, PARTIAL).where(wanted.holds(F.col("v"))).select("pos").orderBy("pos")
+        return self.rows(wanted).select("pos").orderBy("pos")
 
     def sum(self, wanted: Range) -> DataFrame:
-        return self.rows(wanted, FULL, PARTIAL).where(wanted.holds(F.col("v"))).agg(F.sum("v").alias("total"))
+        return self.rows(wanted).agg(F.sum("v").alias("total"))
 
     def coarser(self, blocks: int) -> Signatures:
         """A second level: the union of each `blocks` signatures in a row."""

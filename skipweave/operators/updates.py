@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..column import Column
+from ..column import Column, block_id
 from ..functions import bits
 from .scan import Range
 from .signature import Signatures, block_signatures
@@ -21,9 +21,13 @@ def append(index: Signatures, rows: DataFrame) -> Signatures:
 
 
 def insert_bits(index: Signatures, changed: DataFrame) -> Signatures:
-    """The index after the values at the positions of `changed` (pos, v) were replaced: their bins are added, those of the
-    old values stay set, which only lets more blocks be read."""
-    new = block_signatures(changed, index.bins, index.values_per_block).withColumns({"n_rows": F.lit(0).cast("bigint"), "n_values": F.lit(0).cast("bigint")})
+    """The index after the values at the positions of `changed` (pos, v; each position once, null for no value) were replaced:
+    their bins are added, those of the old values stay set, which only lets more blocks be read. The numbers of values
+    change by those that come and those that go."""
+    zero = F.lit(0).cast("bigint")
+    new = block_signatures(changed, index.bins, index.values_per_block).withColumn("n_rows", zero)
+    gone = index.column.rows.join(changed.select("pos"), "pos", "left_semi").groupBy(block_id(index.values_per_block).alias("block_id"))
+    new = new.unionByName(gone.agg(zero.alias("n_rows"), (-F.count("v")).alias("n_values"), *(zero.alias(w) for w in index.words)))
     rows = index.column.rows.join(changed.select("pos"), "pos", "left_anti").unionByName(changed)
     return _merged(index, new, Column(rows, index.column.type, index.column.name))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..column import Column, block_id
-from .scan import Range
+from .scan import Range, qualifying
 
 FULL, PARTIAL, SKIP = "full", "partial", "skip"
 
@@ -27,20 +27,21 @@ class Zonemap:
         return self.zones.withColumn("verdict", verdict)
 
     def count(self, wanted: Range) -> DataFrame:
-        """Rows of full zones are counted from the zonemap alone; rows of partial zones are read and checked."""
-        full = self.classify(wanted).agg(F.sum(F.when(F.col("verdict") == FULL, F.col("n_values"))).alias("n"))
-        partial = self._rows(wanted, PARTIAL).where(wanted.holds(F.col("v"))).agg(F.count(F.lit(1)).alias("n"))
-        return full.union(partial).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        """Values of full zones are counted from the zonemap, those of partial zones are read and checked: one pass over the
+        zones, which meet the qualifying values of each zone, counted where they are read."""
+        found = qualifying(self.column, wanted).groupBy(block_id(self.values_per_zone).alias("zone_id")).agg(F.count(F.lit(1)).alias("hits"))
+        n = F.when(F.col("verdict") == FULL, F.col("n_values")).when(F.col("verdict") == PARTIAL, F.col("hits"))
+        return self.classify(wanted).where(F.col("verdict") != SKIP).join(found, "zone_id", "left").agg(F.coalesce(F.sum(n), F.lit(0)).alias("n"))
 
     def positions(self, wanted: Range) -> DataFrame:
-        return self._rows(wanted, FULL, PARTIAL).where(wanted.holds(F.col("v"))).select("pos").orderBy("pos")
+        return self._rows(wanted).select("pos").orderBy("pos")
 
     def sum(self, wanted: Range) -> DataFrame:
-        return self._rows(wanted, FULL, PARTIAL).where(wanted.holds(F.col("v"))).agg(F.sum("v").alias("total"))
+        return self._rows(wanted).agg(F.sum("v").alias("total"))
 
-    def _rows(self, wanted: Range, *verdicts: str) -> DataFrame:
-        zones = self.classify(wanted).where(F.col("verdict").isin(*verdicts)).select("zone_id")
-        return self.column.rows.withColumn("zone_id", block_id(self.values_per_zone)).join(zones, "zone_id", "left_semi")
+    def _rows(self, wanted: Range) -> DataFrame:
+        zones = self.classify(wanted).where(F.col("verdict") != SKIP).select("zone_id")
+        return qualifying(self.column, wanted).withColumn("zone_id", block_id(self.values_per_zone)).join(zones, "zone_id", "left_semi")
 
 
 def build_zonemap(column: Column, block_bytes: int = 64) -> Zonemap:

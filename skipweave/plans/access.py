@@ -45,4 +45,4 @@ def qualifying_rows(index: Signatures, wanted: Range) -> tuple[str, DataFrame]:
     if len(ranges) <= MOST_RANGES:
         inside = reduce(lambda a, b: a | b, (F.col("pos").between(r.pos_lo, r.pos_hi) for r in ranges), F.lit(False))
         return "ranges", qualifying(index.column, wanted).where(inside)
-    return "join", index.rows(wanted, "full", "partial").where(wanted.holds(F.col("v"))).select("pos", "v")
+    return "join", index.rows(wanted)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
+
 
 def mean_and_error(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean and se = sample deviation / sqrt(n) of a value by groups; se is null for a single row."""
@@ -19,8 +21,41 @@ def derived(builds: DataFrame) -> DataFrame:
 
 
 def with_builds(queries: DataFrame, builds: DataFrame, keys: Sequence[str] = ("label", "bins", "blocksize")) -> DataFrame:
-    """Each query's row with its build's columns (null without one); builds are made unique by the keys first."""
-    return queries.join(builds.dropDuplicates(list(keys)), list(keys), "left")
+    """Each query's row with each of its builds' columns (null without one): a row for each build of the same keys."""
+    return queries.join(builds, list(keys), "left")
+
+
+def bag_union(first: DataFrame, *rest: DataFrame) -> DataFrame:
+    """All rows of all tables, equal ones as often as they occur; columns by name, those that a table lacks are null."""
+    for df in rest:
+        first = first.unionByName(df, allowMissingColumns=True)
+    return first
+
+
+def among(df: DataFrame, column: str, others: DataFrame, other_column: str) -> DataFrame:
+    """The rows whose value is among the other table's."""
+    other = others.select(F.col(other_column).alias("__among"))
+    return df.join(other, df[column] == other["__among"], "left_semi")
+
+
+def breaks(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values in order."""
+    return df.select(column).distinct().orderBy(column)
+
+
+def head(df: DataFrame, by: Sequence[str], n: int = 6) -> DataFrame:
+    """The first rows by an order; a top-k, so no task sorts all rows."""
+    return df.orderBy(*by).limit(n)
+
+
+def measured(df: DataFrame, least_usec: int = 1000) -> DataFrame:
+    """Builds that took long enough to be compared."""
+    return df.where(F.col("time_creation_usec") > least_usec)
+
+
+def cost(builds: DataFrame) -> DataFrame:
+    """Microseconds for a thousand records of each build."""
+    return builds.withColumn("usec_per_1000", F.col("time_creation_usec") * 1000.0 / F.col("records"))
 
 
 def per_1000_vectors(joined: DataFrame, least_vectors: int = 1000) -> DataFrame:
@@ -34,6 +69,6 @@ def improvement(metrics: DataFrame, base: str = "scan") -> DataFrame:
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
-    """(value, n_upto): how many rows have at most each value; sums within the sorted distinct values only."""
+    """(value, n_upto): how many rows have at most each value, by ranges of the distinct values."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(value, F.sum("n").over(Window.orderBy(value)).alias("n_upto"))
+    return running(counts, value, "n", "before").select(value, (F.col("before") + F.col("n")).alias("n_upto"))

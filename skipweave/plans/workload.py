@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,22 +61,35 @@ def timed(df: DataFrame) -> tuple[int, int]:
     return value, (time.perf_counter_ns() - began) // 1000
 
 
-def run_workload(column: Column, wanted: list[Range], block_bytes: int = 64, most_bins: int = 64, check: bool = True) -> DataFrame:
-    """A row for each query and access path; raises ValueError where a path's count differs from the scan's."""
+def run_workload(column: Column, wanted: list[Range], block_bytes: int = 64, most_bins: int = 64, check: bool = True, others: Iterable[tuple[int, int]] = ()) -> DataFrame:
+    """A row for each query and access path: the plain scan, the zonemap, one signature index, the bitmaps, and with
+    `others` the signatures of each of those (block bytes, bins), named by them. Indexes are built once and kept for all
+    queries; those of the others are counted together, and each is given its share of the time. Raises ValueError where a path's count differs from the scan's."""
     zones = zonemap.build_zonemap(column, block_bytes)
     index = signature.build_signatures(column, block_bytes, most_bins)
-    zones.zones, index.blocks = zones.zones.cache(), index.blocks.cache()
+    more = {f"signature {b}x{m}": signature.build_signatures(column, b, m) for b, m in others}
+    zones.zones = zones.zones.cache()
+    for one in (index, *more.values()):
+        one.blocks = one.blocks.cache()
     words = bitmap.wah_encode(column, index.bins).cache()
     rows = []
+    together: dict[str, tuple] = {}
+    for name, one in more.items():
+        began = time.perf_counter_ns()
+        found = one.counts(wanted).first()
+        together[name] = found, (time.perf_counter_ns() - began) // 1000 // max(1, len(wanted))
     for q, r in enumerate(wanted):
         plans = {"scan": scan.scan_count(column, r), "zonemap": zones.count(r), "signature": index.count(r), "bitmap": bitmap.bitmap_count(column, index.bins, words, r)}
         counts = {}
         for method, plan in plans.items():
             counts[method], usec = timed(plan)
             rows.append((q, method, float(r.low), float(r.high), counts[method], counts[method] * 100.0 / max(1, column.n), usec))
+        for name, (found, usec) in together.items():
+            counts[name] = found[q]
+            rows.append((q, name, float(r.low), float(r.high), found[q], found[q] * 100.0 / max(1, column.n), usec))
         if check and len(set(counts.values())) > 1:
             raise ValueError(f"query {q}: counts differ: {counts}")
-    for df in (zones.zones, index.blocks, words):
+    for df in (zones.zones, words, *(one.blocks for one in (index, *more.values()))):
         df.unpersist()
     return column.rows.sparkSession.createDataFrame(rows, METRICS)
 

@@ -13,6 +13,8 @@ from .functions.binning import bins_for, bins_of, equi_depth_bins, sample
 from .operators import bitmap, conjunction, runs, scan, signature, statistics, updates, zonemap
 from .operators.scan import Range
 from .plans import access, analysis, workload
+from .sources import indexed, metrics_log, raw
+from .sources.files import fresh_dir
 
 #: Column -> table, position key, SQL of the value, largest value of its type.
 COLUMNS = {
@@ -216,7 +218,16 @@ def bounds_256(spark, sf_dir):
     return _bounds(spark, sf_dir, "value", 256)
 
 
-@query()
+_equi_depth = sampled("value").replace("WITH", "WITH RECURSIVE", 1) + """,
+freq AS (SELECT v, n, row_number() OVER (ORDER BY v) AS k FROM (SELECT v, count(*) AS n FROM picked GROUP BY v)),
+whole AS (SELECT sum(n) AS total, greatest(1, least(count(*), 62)) AS share FROM freq),
+walk AS (SELECT 0::BIGINT AS k, 0::HUGEINT AS held, 0::BIGINT AS closed, NULL::DOUBLE AS bound UNION ALL
+  SELECT f.k, CASE WHEN (held + n) * share >= total AND closed < 62 THEN 0 ELSE held + n END, closed + CASE WHEN (held + n) * share >= total AND closed < 62 THEN 1 ELSE 0 END,
+    CASE WHEN (held + n) * share >= total AND closed < 62 THEN f.v END FROM walk JOIN freq f ON f.k = walk.k + 1, whole),
+ends AS (SELECT closed - 1 AS bin, bound FROM walk WHERE bound IS NOT NULL)"""
+
+
+@query(_equi_depth + " SELECT i AS bin, coalesce(bound, 1.7976931348623157e308) AS bound FROM range(64) r(i) LEFT JOIN ends ON bin = i")
 def bounds_equidepth(spark, sf_dir):
     c = read(spark, sf_dir, "value")
     return spark.createDataFrame(list(enumerate(equi_depth_bins(c).bounds)), "bin bigint, bound double")
@@ -295,9 +306,36 @@ def signature_scan_sum(spark, sf_dir):
     return signature.build_signatures(read(spark, sf_dir, "o_totalprice")).sum(Range(1000.0, 50000.0)).select(F.round("total", 2).alias("total"))
 
 
-@query(f"{col('o_orderkey')} SELECT pos, v FROM col WHERE {in_range(KEYS)}")
+def middle(c: Column) -> Range:
+    """From the value two fifths into the column to that three fifths into it."""
+    at = [c.n * 2 // 5, c.n * 3 // 5]
+    found = {r.pos: r.v for r in c.rows.where(F.col("pos").isin(at)).collect()}
+    return Range(found[at[0]], found[at[1]])
+
+
+_middle = col("ts") + ", lim AS (SELECT min(v) AS lo, max(v) AS hi FROM col, n WHERE pos IN (n * 2 // 5, n * 3 // 5)) SELECT {} FROM col, lim WHERE v > lo AND v <= hi"
+
+
+@query(_middle.format("pos, v"))
 def signature_range_pushdown(spark, sf_dir):
-    return access.qualifying_rows(signature.build_signatures(read(spark, sf_dir, "o_orderkey"), 4096), KEYS)[1]
+    """A clustered column that is not the position: the index turns the range of values into ranges of positions."""
+    c = read(spark, sf_dir, "ts")
+    return access.qualifying_rows(signature.build_signatures(c, 256), middle(c))[1]
+
+
+@query(_middle.format("pos, v"))
+def saved_index_rows(spark, sf_dir):
+    """Through an index that was built and saved before, by the data source that plans from it."""
+    c, folder = read(spark, sf_dir, "ts"), fresh_dir(spark, "index")
+    indexed.save(signature.build_signatures(c, 4096), folder)
+    return indexed.read_indexed(spark, folder, middle(c))
+
+
+@query(_middle.format("count(*) AS n"))
+def saved_index_count(spark, sf_dir):
+    c, folder = read(spark, sf_dir, "ts"), fresh_dir(spark, "index")
+    indexed.save(signature.build_signatures(c, 4096, 256), folder)
+    return indexed.load(spark, folder).count(middle(c))
 
 
 @query(signed_blocks("value", 8) + " SELECT block_id // 64 AS block_id, sum(n_rows)::BIGINT AS n_rows, sum(n_values)::BIGINT AS n_values, bit_or(w0) AS w0 FROM blocks GROUP BY ALL")
@@ -320,14 +358,15 @@ def signature_expand(spark, sf_dir):
     return runs.run_lengths(signature.build_signatures(read(spark, sf_dir, "ts"))).expand()
 
 
-@query("SELECT 0 AS n WHERE false")
+def _form_rows(name: str) -> str:
+    return f"SELECT part, id, value FROM ({run_form(name, 8)} SELECT 'entry' AS part, block_lo AS id, concat(blocks, 'x', repeated) AS value FROM entries UNION ALL SELECT 'vector', block_lo, w0::VARCHAR FROM stored)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{side}' AS side, part, count(*) AS n, min(id) AS first FROM ({_form_rows(a)} EXCEPT ALL {_form_rows(b)}) GROUP BY ALL" for side, a, b in (("one", "ts", "value"), ("other", "value", "ts"))))
 def signature_compare(spark, sf_dir):
-    """Differences between an index and its own expansion: none."""
-    index = signature.build_signatures(read(spark, sf_dir, "ts"))
-    one = runs.run_lengths(index)
-    again = index.blocks.select("block_id", "n_rows", "n_values").join(one.expand(), "block_id")
-    other = runs.run_lengths(signature.Signatures(index.column, index.bins, index.values_per_block, again))
-    return runs.differences(one, other).select(F.lit(0).alias("n"))
+    """Entries and vectors that only one of the indexes of two columns has."""
+    one, other = (runs.run_lengths(signature.build_signatures(read(spark, sf_dir, c))) for c in ("ts", "value"))
+    return runs.differences(one, other).groupBy("side", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 @query(run_form("ts", 8) + ", sized AS (SELECT (SELECT count(*) FROM stored) AS n_vectors, (SELECT count(*) FROM entries) AS n_entries, (SELECT bins FROM shape) AS bins, (SELECT n FROM n) AS n) SELECT n_vectors, n_entries, n_vectors * (bins // 8) + 4 * n_entries AS index_bytes, (n_vectors * (bins // 8) + 4 * n_entries) * 100 // (n * 8) AS percent FROM sized")
@@ -416,7 +455,21 @@ def bitmap_build(spark, sf_dir):
     return bitmap.bitmap_groups(c, bins_of(c)).select("bin", "grp", F.col("bits").cast("bigint").alias("bits"), "n")
 
 
-@query()
+_code_words = binned("value").replace("WITH", "WITH RECURSIVE", 1) + f""",
+runs AS (SELECT bin, min(pos) AS lo, max(pos) AS hi FROM (SELECT bin, pos, pos - row_number() OVER (PARTITION BY bin ORDER BY pos) AS island FROM binned WHERE bin IS NOT NULL) GROUP BY bin, island),
+spans AS (SELECT bin, list(struct_pack(lo := lo, hi := hi) ORDER BY lo) AS spans FROM runs GROUP BY bin),
+every AS (SELECT bin, list(pos ORDER BY pos) AS every FROM binned WHERE bin IS NOT NULL GROUP BY bin),
+pieces AS (SELECT bin, s * {bitmap.STRETCH} AS start, least((s + 1) * {bitmap.STRETCH}, n) AS till, spans, every FROM spans JOIN every USING (bin), n, range(1 + (SELECT n FROM n) // {bitmap.STRETCH}) r(s)
+  WHERE len(list_filter(every, lambda p: p >= s * {bitmap.STRETCH} AND p < (s + 1) * {bitmap.STRETCH})) > 0),
+words AS (SELECT bin, start, start AS here, -1 AS word_no, 0::BIGINT AS word, till, spans, every FROM pieces UNION ALL
+  SELECT bin, start, CASE WHEN run > 30 THEN here + run ELSE least(here + 31, till) END, word_no + 1,
+    CASE WHEN run > 30 THEN CASE WHEN len(own) > 0 THEN 1073741824 ELSE 0 END + run
+      ELSE 2147483648 + coalesce(list_sum(list_transform(list_filter(every, lambda p: p >= here AND p < least(here + 31, till)), lambda p: (1::BIGINT << (p - here)::INTEGER))), 0) END::BIGINT, till, spans, every
+  FROM (SELECT *, least(till - here, 1073741823, CASE WHEN len(own) > 0 THEN own[1].hi + 1 ELSE coalesce(after[1].lo, till) END - here) AS run
+    FROM (SELECT *, list_filter(spans, lambda i: i.lo <= here AND i.hi >= here) AS own, list_filter(spans, lambda i: i.lo > here) AS after FROM words WHERE here < till)))"""
+
+
+@query(_code_words + " SELECT bin::INTEGER AS bin, start::BIGINT AS start, word_no::INTEGER AS word_no, word FROM words WHERE word_no >= 0")
 def wah_encode(spark, sf_dir):
     c = read(spark, sf_dir, "value")
     return bitmap.wah_encode(c, bins_of(c))
@@ -440,6 +493,14 @@ def wah_scan(spark, sf_dir):
 
 @query("SELECT p_partkey AS pos FROM part WHERE p_size > 10 AND p_size <= 30 AND p_retailprice > 920.0 AND p_retailprice <= 960.0")
 def multi_column_conjunction(spark, sf_dir):
+    a, b = read(spark, sf_dir, "p_size"), read(spark, sf_dir, "p_retailprice")
+    terms = {"p_size": (signature.build_signatures(a), Range(10, 30)), "p_retailprice": (signature.build_signatures(b), PRICES)}
+    return conjunction.qualifying_tuples(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", terms).select("pos").orderBy("pos")
+
+
+@query("SELECT p_partkey AS pos FROM part WHERE p_size > 10 AND p_size <= 30 AND p_retailprice > 920.0 AND p_retailprice <= 960.0")
+def conjunction_of_columns(spark, sf_dir):
+    """The same for columns that are stored apart."""
     a, b = read(spark, sf_dir, "p_size"), read(spark, sf_dir, "p_retailprice")
     return conjunction.conjunction_positions([(signature.build_signatures(a), Range(10, 30)), (signature.build_signatures(b), PRICES)])
 
@@ -475,6 +536,22 @@ def delta_update(spark, sf_dir):
     return updates.insert_bits(signature.build_signatures(c), c.rows.where("pos % 10 = 3").select("pos", (500.0 - F.col("v")).alias("v"))).positions(VALUES)
 
 
+_changed = "SELECT pos, CASE WHEN pos % 10 = 3 THEN CASE WHEN pos % 20 = 3 THEN NULL ELSE 500.0 - v END ELSE v END AS v FROM col"
+
+
+@query(f"{col('value')}, changed AS ({_changed}), ranges(low, high) AS (VALUES (10.0, 50.0), (-1e9, 1e9), (100.0, 400.0)) SELECT low, high, (SELECT count(*) FROM changed WHERE v > low AND v <= high) AS n, (SELECT round(sum(v), 2) FROM changed WHERE v > low AND v <= high) AS total FROM ranges")
+def delta_update_counts(spark, sf_dir):
+    """Counts and sums after values were replaced by others and by nulls, from the numbers that the index keeps."""
+    c = read(spark, sf_dir, "value")
+    changed = c.rows.where("pos % 10 = 3").select("pos", F.when(F.col("pos") % 20 == 3, None).otherwise(500.0 - F.col("v")).alias("v"))
+    index = updates.insert_bits(signature.build_signatures(c), changed)
+    parts = []
+    for low, high in ((10.0, 50.0), (-1e9, 1e9), (100.0, 400.0)):
+        wanted = Range(low, high)
+        parts.append(index.count(wanted).join(index.sum(wanted)).select(F.lit(low).alias("low"), F.lit(high).alias("high"), "n", F.round("total", 2).alias("total")))  # two single rows
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # workloads and their analysis
 
 
@@ -488,11 +565,11 @@ def query_generator(spark, sf_dir):
     return spark.createDataFrame([(i, r.low, r.high) for i, r in enumerate(wanted)], "query bigint, low double, high double")
 
 
-@query(bounded("value") + f", {_ten}, counts AS (SELECT i AS query, (SELECT count(*) FROM col WHERE v > low AND v <= high) AS n FROM ranges) SELECT query, method, counts.n AS n, counts.n * 100.0::DOUBLE / (SELECT n FROM n) AS selectivity FROM counts, (VALUES ('scan'), ('zonemap'), ('signature'), ('bitmap')) m(method)")
+@query(bounded("value") + f", {_ten}, counts AS (SELECT i AS query, (SELECT count(*) FROM col WHERE v > low AND v <= high) AS n FROM ranges) SELECT query, method, counts.n AS n, counts.n * 100.0::DOUBLE / (SELECT n FROM n) AS selectivity FROM counts, (VALUES ('scan'), ('zonemap'), ('signature'), ('bitmap')" + "".join(f", ('signature {b}x{m}')" for b, m in workload.variants()) + ") m(method)")
 def harness_agreement(spark, sf_dir):
     c = read(spark, sf_dir, "value")
     wanted = workload.growing_ranges(bins_of(c), c.rows.agg(F.max("v")).first()[0])
-    found = workload.run_workload(c, wanted)
+    found = workload.run_workload(c, wanted, others=workload.variants())
     return found.select(F.col("query").cast("bigint").alias("query"), "method", "n", "selectivity")
 
 
@@ -502,11 +579,107 @@ def metrics_mean_se(spark, sf_dir):
     return found.select("o_orderstatus", "o_orderpriority", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
 
 
-@query("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3")
+#: Builds and queries as a log tells of them, made from the parts: expressions that both engines read alike.
+BUILDS = {
+    "label": "concat(p_brand, '-', p_size)", "exp": "CASE WHEN p_partkey % 2 = 0 THEN 'simd' ELSE 'scalar' END", "bins": "CASE p_partkey % 3 WHEN 0 THEN 8 WHEN 1 THEN 64 ELSE 256 END",
+    "blocksize": "CASE WHEN p_size % 2 = 0 THEN 64 ELSE 256 END", "time_creation_usec": "CAST(p_size AS BIGINT) * 100", "data_size_bytes": "CAST(p_size AS BIGINT) * 400", "type_size_bytes": "8",
+    "vectors_size_bytes": "CAST(p_size AS BIGINT) * 10000", "records": "CAST(p_size AS BIGINT) * 50",
+}
+RUNS = {
+    "label": BUILDS["label"], "exp": BUILDS["exp"], "query": "CAST(p_partkey % 10 AS INTEGER)", "bins": BUILDS["bins"], "blocksize": BUILDS["blocksize"], "result_size": "CAST(p_size AS BIGINT)",
+    "selectivity": "CAST(p_size AS DOUBLE)", "query_time": "CAST(p_partkey % 997 + 1 AS BIGINT)", "records": BUILDS["records"],
+}
+
+
+def columns_of(fields: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in fields.items()]
+
+
+_logs = f"WITH builds AS (SELECT {', '.join(columns_of(BUILDS))} FROM part), runs AS (SELECT {', '.join(columns_of(RUNS))} FROM part)"
+
+
+def logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.selectExpr(*columns_of(BUILDS)), part.selectExpr(*columns_of(RUNS))
+
+
+@query(_logs + " SELECT label, exp, bins, blocksize, time_creation_usec, records, time_creation_usec * 1000.0::DOUBLE / records AS usec_per_1000 FROM builds WHERE time_creation_usec > 1000")
+def metrics_build_cost(spark, sf_dir):
+    found = analysis.cost(analysis.measured(logs(spark, sf_dir)[0]))
+    return found.select("label", "exp", "bins", "blocksize", "time_creation_usec", "records", "usec_per_1000")
+
+
+_joined = _logs + ", joined AS (SELECT runs.*, vectors_size_bytes, vectors_size_bytes // (bins // 8) AS vectors, blocksize // type_size_bytes AS values_per_block FROM runs LEFT JOIN (SELECT label, bins, blocksize, type_size_bytes, vectors_size_bytes FROM builds) b USING (label, bins, blocksize))"
+
+
+def _with_builds(spark, sf_dir) -> DataFrame:
+    builds, found = logs(spark, sf_dir)
+    derived = analysis.derived(builds.withColumn("block_size_bytes", F.col("blocksize"))).select("label", "bins", "blocksize", "vectors", "values_per_block")
+    return analysis.with_builds(found, derived)
+
+
+@query(_joined + " SELECT label, exp, query, bins, blocksize, query_time, vectors, values_per_block FROM joined")
 def metrics_left_join(spark, sf_dir):
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumnRenamed("n_regionkey", "key")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet").withColumnRenamed("r_regionkey", "key").where("key < 3")
-    return analysis.with_builds(nation, region, ["key"]).select("n_name", "r_name")
+    return _with_builds(spark, sf_dir).select("label", "exp", "query", "bins", "blocksize", "query_time", "vectors", "values_per_block")
+
+
+@query(_joined + " SELECT bins, blocksize, count(*) AS n, round(avg(query_time * 1000.0::DOUBLE / vectors), 6) AS mean, round(stddev_samp(query_time * 1000.0::DOUBLE / vectors) / sqrt(count(*)), 6) AS se FROM joined WHERE vectors > 1000 GROUP BY ALL")
+def metrics_per_1000_vectors(spark, sf_dir):
+    found = analysis.mean_and_error(analysis.per_1000_vectors(_with_builds(spark, sf_dir)), ["bins", "blocksize"], "time_per_1000")
+    return found.select("bins", "blocksize", "n", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
+
+
+@query(_logs + " SELECT label, exp, bins, blocksize, records, time_creation_usec, query_time FROM builds, (SELECT NULL::BIGINT AS query_time) UNION ALL SELECT label, exp, bins, blocksize, records, NULL, query_time FROM runs")
+def metrics_bag_union(spark, sf_dir):
+    builds, found = logs(spark, sf_dir)
+    return analysis.bag_union(builds.select("label", "exp", "bins", "blocksize", "records", "time_creation_usec"), found.select("label", "exp", "bins", "blocksize", "records", "query_time"))
+
+
+@query(_logs + " SELECT DISTINCT values_per_block FROM (SELECT blocksize // type_size_bytes AS values_per_block FROM builds)")
+def metrics_breaks(spark, sf_dir):
+    return analysis.breaks(analysis.derived(logs(spark, sf_dir)[0].withColumn("block_size_bytes", F.col("blocksize"))), "values_per_block")
+
+
+@query("SELECT p_partkey, p_brand, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 6")
+def metrics_head(spark, sf_dir):
+    return analysis.head(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"])
+
+
+@query("SELECT p_partkey AS query, 'zonemap' AS method, (p_size * 7 + 1) / (p_size + 1)::DOUBLE AS factor FROM part")
+def metrics_improvement(spark, sf_dir):
+    """Time of the scan over that of another path, query by query."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    times = part.select(F.col("p_partkey").alias("query"), F.lit("scan").alias("method"), (F.col("p_size") * 7 + 1).alias("usec")).union(part.select("p_partkey", F.lit("zonemap"), F.col("p_size") + 1))
+    return analysis.improvement(times)
+
+
+def _log_lines(spark, sf_dir) -> DataFrame:
+    """(file, line_no, value): for each part a run of a create line, a query line, a line of a type that is not supported, and
+    its end."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    line = lambda kind, fields: "concat('" + kind + " ', concat_ws(' ', " + ", ".join(f"concat('{c}=', {sql})" for c, sql in fields.items()) + "))"
+    each = f"posexplode(array({line('create', BUILDS)}, {line('query', RUNS)}, 'type blob not supported', '{metrics_log.END}'))"
+    return part.selectExpr("p_partkey", f"{each} AS (k, value)").selectExpr("'log' AS file", "p_partkey * 4 + k AS line_no", "value")
+
+
+@query("WITH numbered AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS run_no FROM part) SELECT run_no, " + ", ".join(columns_of(BUILDS)) + " FROM numbered")
+def log_builds(spark, sf_dir):
+    return metrics_log.parse(_log_lines(spark, sf_dir), metrics_log.CREATE, "create").drop("file")
+
+
+@query("WITH numbered AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS run_no FROM part) SELECT run_no, " + ", ".join(columns_of(RUNS)) + " FROM numbered")
+def log_queries(spark, sf_dir):
+    return metrics_log.parse(_log_lines(spark, sf_dir), metrics_log.QUERY, "query").drop("file")
+
+
+@query("SELECT p_partkey AS pos, p_size AS v FROM part")
+def raw_column(spark, sf_dir):
+    """A column written to raw files and read back from them."""
+    folder = fresh_dir(spark, "raw")
+    raw.write_raw(read(spark, sf_dir, "p_size"), folder).write.parquet(f"{folder}/files")
+    files = spark.read.parquet(f"{folder}/files").where("n_values > 0").orderBy("first_pos").collect()  # a row a file
+    parts = [raw.read_raw(spark, f.path, "int", f.n_values).rows.select((F.col("pos") + f.first_pos).alias("pos"), "v") for f in files]
+    return analysis.bag_union(*parts)
 
 
 @query("SELECT p_size, sum(count(*)) OVER (ORDER BY p_size)::BIGINT AS n_upto FROM part GROUP BY p_size")
@@ -517,4 +690,46 @@ def metrics_distribution(spark, sf_dir):
 @query("SELECT DISTINCT c_mktsegment FROM customer WHERE c_nationkey IN (SELECT DISTINCT s_nationkey FROM supplier)")
 def metrics_semi_join(spark, sf_dir):
     customer, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier"))
-    return customer.join(supplier, customer["c_nationkey"] == supplier["s_nationkey"], "left_semi").select("c_mktsegment").distinct()
+    return analysis.breaks(analysis.among(customer, "c_nationkey", supplier, "s_nationkey"), "c_mktsegment")
+
+
+@query(run_form("value", 8) + ", words AS (SELECT count(*) AS n FROM (" + _code_words + " SELECT * FROM words WHERE word_no >= 0)), sized(path, bytes) AS (SELECT 'zonemap', (SELECT count(*) FROM (SELECT DISTINCT pos // 8 FROM col)) * 16 UNION ALL SELECT 'signature', (SELECT count(*) FROM stored) * (SELECT bins FROM shape) // 8 + 4 * (SELECT count(*) FROM entries) UNION ALL SELECT 'bitmap', 4 * (SELECT n FROM words)) SELECT path, bytes, bytes * 100 // ((SELECT n FROM n) * 8) AS percent FROM sized")
+def storage_comparison(spark, sf_dir):
+    c = read(spark, sf_dir, "value")
+    index = signature.build_signatures(c)
+    return statistics.storage(index, runs.run_lengths(index), zonemap.build_zonemap(c), bitmap.wah_encode(c, index.bins))
+
+
+@query(bounded("value") + " SELECT bin::INTEGER AS bin, bound FROM bounds")
+def bounds_print(spark, sf_dir):
+    return statistics.bounds_table(signature.build_signatures(read(spark, sf_dir, "value")))
+
+
+_marks = "(SELECT string_agg(CASE WHEN CASE WHEN k = 63 THEN w0 < 0 ELSE (w0 >> k::INTEGER) & 1 = 1 END THEN 'x' ELSE '.' END, '' ORDER BY k) FROM range((SELECT bins FROM shape)) r(k))"
+
+
+@query(run_form("ts", 8) + f" SELECT entry_id, vector_id, {_marks} AS bins, CASE WHEN grouped.repeated THEN concat(' repeat [', length, ']') ELSE '' END AS note FROM grouped")
+def signature_print_entries(spark, sf_dir):
+    index = signature.build_signatures(read(spark, sf_dir, "ts"))
+    return statistics.printed_entries(runs.run_lengths(index), len(index.bins)).drop("segment")
+
+
+@query(run_form("value", 8) + _per_bin + ", hist AS (SELECT bin, count(*) AS n FROM member GROUP BY bin), most AS (SELECT max(n) AS m FROM hist) SELECT 11 - lv AS row, string_agg(CASE WHEN coalesce(n, 0) * 10 > (lv - 1) * m THEN 'H' ELSE ' ' END, '' ORDER BY k) AS bar FROM range(1, 11) a(lv), range(64) b(k) LEFT JOIN hist ON hist.bin = k, most GROUP BY lv")
+def histogram_bars(spark, sf_dir):
+    index = signature.build_signatures(read(spark, sf_dir, "value"))
+    return statistics.bars(statistics.bin_histogram(runs.run_lengths(index), len(index.bins)), len(index.bins)).select(F.col("row").cast("bigint").alias("row"), "bar")
+
+
+@query()
+def ranges_by_bin(spark, sf_dir):
+    """Ranges between bounds, with the rows that each holds by the index and by the scan, which agree."""
+    c = read(spark, sf_dir, "value")
+    index = signature.build_signatures(c)
+    filled = [r.bin for r in statistics.bin_histogram(runs.run_lengths(index), len(index.bins)).orderBy("bin").collect()]
+    return workload.run_workload(c, workload.ranges_by_bin(index.bins, filled))
+
+
+@query()
+def ranges_by_data(spark, sf_dir):
+    c = read(spark, sf_dir, "value")
+    return workload.run_workload(c, workload.ranges_by_data(c))

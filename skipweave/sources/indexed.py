@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
-from pyarrow import fs
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -20,17 +21,24 @@ from ..functions.binning import Bins
 from ..operators.scan import Range
 from ..operators.signature import Signatures
 from ..types import resolve
+from .files import file_system
 
 FORMAT = "signatures"
 #: Rows that one task reads, about.
 ROWS_PER_TASK = 1 << 22
 
 
+def _blocks_per_task(values_per_block: int) -> int:
+    return max(1, ROWS_PER_TASK // values_per_block)
+
+
 def save(index: Signatures, folder: str) -> None:
-    """Writes the column (sorted by position), its blocks and its bounds below folder."""
+    """Writes the column (sorted by position), its blocks, the union of the blocks of each task (a row for ROWS_PER_TASK
+    rows, from which reads are planned) and its bounds below folder."""
     spark = index.blocks.sparkSession
     index.column.rows.repartitionByRange("pos").sortWithinPartitions("pos").write.mode("overwrite").parquet(f"{folder}/column")
     index.blocks.repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode("overwrite").parquet(f"{folder}/blocks")
+    index.coarser(_blocks_per_task(index.values_per_block)).blocks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/tasks")
     meta = {"name": index.column.name, "type": index.column.type.name, "values_per_block": index.values_per_block, "bounds": [b if isinstance(b, (int, float)) else int(b) for b in index.bins.bounds]}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
 
@@ -42,25 +50,25 @@ def load(spark: SparkSession, folder: str) -> Signatures:
     return Signatures(column, Bins(tuple(meta["bounds"]), kind), meta["values_per_block"], spark.read.parquet(f"{folder}/blocks"))
 
 
-class Ranges(InputPartition):
-    """Position ranges [lo, hi) that one task reads."""
+class Share(InputPartition):
+    """The number of the ROWS_PER_TASK rows that one task reads; -1 for none."""
 
-    def __init__(self, ranges: list[tuple[int, int]]):
-        self.ranges = ranges
+    def __init__(self, number: int):
+        self.number = number
 
 
 def _dataset(path: str) -> ds.Dataset:
-    where, name = fs.FileSystem.from_uri(path)
+    where, name = file_system(path)
     return ds.dataset(name, filesystem=where, format="parquet")
 
 
 class SignatureReader(DataSourceReader):
-    """Takes comparisons of v from Spark's filter, and plans only the position ranges of candidate blocks. Spark applies
+    """Takes comparisons of v from Spark's filter, and reads only candidate blocks. Spark applies
     the filter again to the rows, so a candidate without hits does no harm."""
 
     def __init__(self, folder: str):
-        where, name = fs.FileSystem.from_uri(f"{folder}/meta")
-        part = next(f for f in where.get_file_info(fs.FileSelector(name)) if f.base_name.startswith("part-") and f.size)
+        where, name = file_system(f"{folder}/meta")
+        part = next(f for f in where.get_file_info(FileSelector(name)) if f.base_name.startswith("part-") and f.size)
         with where.open_input_stream(part.path) as stream:
             self.meta = json.loads(stream.read())
         self.folder, self.low, self.high = folder, None, None
@@ -75,34 +83,37 @@ class SignatureReader(DataSourceReader):
                     self.high = f.value if self.high is None else min(self.high, f.value)
             yield f
 
-    def _wanted(self) -> list[int]:
+    def _hit(self) -> pc.Expression:
+        """Whether a row of blocks has a bin that the range touches."""
         first = 0 if self.low is None else self.bins.find(self.low)
         last = len(self.bins) - 1 if self.high is None else self.bins.find(self.high)
-        return bits.words_of((1 << last + 1) - (1 << first) if first <= last else 0, len(self.bins))
-
-    def partitions(self) -> list[Ranges]:
-        words, hit = self._wanted(), None
+        words = bits.words_of((1 << last + 1) - (1 << first) if first <= last else 0, len(self.bins))
+        hit = None
         for name, word in zip(bits.word_names(len(self.bins)), words):
             one = pc.bit_wise_and(pc.field(name), pa.scalar(word, pa.int64())) != 0
             hit = one if hit is None else hit | one
-        blocks = _dataset(f"{self.folder}/blocks").to_table(columns=["block_id"], filter=hit)["block_id"].to_pylist()
-        per, runs = self.meta["values_per_block"], []
-        for b in sorted(blocks):
-            if runs and runs[-1][1] == b * per and runs[-1][1] - runs[-1][0] < ROWS_PER_TASK:
-                runs[-1][1] = (b + 1) * per
-            else:
-                runs.append([b * per, (b + 1) * per])
-        out: list[Ranges] = []
-        for lo, hi in runs:
-            if not out or sum(h - low for low, h in out[-1].ranges) >= ROWS_PER_TASK:
-                out.append(Ranges([]))
-            out[-1].ranges.append((lo, hi))
-        return out or [Ranges([])]
-
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        data = _dataset(f"{self.folder}/column")
-        for lo, hi in partition.ranges:
-            yield from data.to_batches(columns=["pos", "v"], filter=(pc.field("pos") >= lo) & (pc.field("pos") < hi))
+        return hit
+
+    def partitions(self) -> list[Share]:
+        """The tasks that have a candidate block, from their unions alone."""
+        found = _dataset(f"{self.folder}/tasks").to_table(columns=["block_id"], filter=self._hit())["block_id"]
+        return [Share(k) for k in sorted(found.to_pylist())] or [Share(-1)]
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        """The rows of the task's candidate blocks, by one scan from the first to the last of them."""
+        if partition.number < 0:
+            return
+        per = self.meta["values_per_block"]
+        many, block = _blocks_per_task(per), pc.field("block_id")
+        own = (block >= partition.number * many) & (block < (partition.number + 1) * many)
+        blocks = np.sort(_dataset(f"{self.folder}/blocks").to_table(columns=["block_id"], filter=own & self._hit())["block_id"].to_numpy())
+        if not len(blocks):
+            return
+        inside = (pc.field("pos") >= int(blocks[0]) * per) & (pc.field("pos") < (int(blocks[-1]) + 1) * per)
+        for batch in _dataset(f"{self.folder}/column").to_batches(columns=["pos", "v"], filter=inside):
+            of = batch.column("pos").to_numpy() // per
+            at = np.minimum(np.searchsorted(blocks, of), len(blocks) - 1)
+            yield batch.filter(pa.array(blocks[at] == of))
 
 
 class SignatureSource(DataSource):

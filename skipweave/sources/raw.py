@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -14,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..column import Column
 from ..types import ColumnType, resolve
+from .files import file_system
 
 FORMAT = "rawcolumn"
 #: Values that one task reads, and that it hands on at a time.
@@ -31,7 +31,7 @@ class Slice(InputPartition):
 class RawReader(DataSourceReader):
     def __init__(self, path: str, kind: ColumnType, count: int | None, per_task: int):
         self.path, self.kind, self.per_task = path, kind, per_task
-        where, name = fs.FileSystem.from_uri(path)
+        where, name = file_system(path)
         size = where.get_file_info(name).size
         if not size:
             raise ValueError(f"{path} is missing or empty")
@@ -45,7 +45,7 @@ class RawReader(DataSourceReader):
         return [Slice(at, min(at + self.per_task, self.n)) for at in range(0, self.n, self.per_task)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        where, name = fs.FileSystem.from_uri(self.path)
+        where, name = file_system(self.path)
         with where.open_input_file(name) as file:
             for at in range(partition.start, partition.end, VALUES_PER_BATCH):
                 end = min(at + VALUES_PER_BATCH, partition.end)
@@ -83,7 +83,7 @@ def write_raw(column: Column, folder: str) -> DataFrame:
     kind = column.type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = file_system(folder)
         where.create_dir(base, recursive=True)
         context = TaskContext.get()
         name, first, n = f"{context.partitionId():05d}-{context.taskAttemptId()}.raw", None, 0

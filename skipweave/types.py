@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.ordered import running
+
 
 @dataclass(frozen=True)
 class ColumnType:
@@ -91,12 +97,46 @@ def value_of(column: Column, field: T.DataType) -> Column:
     return column
 
 
-def dictionary(df: DataFrame, name: str) -> DataFrame:
-    """(text, code): the distinct strings of a column, numbered in order.
+def raw_limits(field: T.DataType, low, high) -> tuple[Column | None, Column | None]:
+    """Literals of the column's own type between which every value of the indexed range low..high lies, both included (None:
+    no such literal). Comparisons with them reach the Parquet reader, which value_of() would hide."""
+
+    def at(limit, up: bool) -> Column | None:
+        if isinstance(limit, float) and math.isnan(limit):
+            return None
+        if isinstance(field, T.DoubleType):
+            return F.lit(float(limit))
+        if isinstance(field, T.FloatType):
+            near = np.float32(limit)
+            if not np.isfinite(near):
+                return None
+            if (near < limit) if up else (near > limit):
+                near = np.nextafter(near, np.float32(np.inf if up else -np.inf))
+            return F.lit(float(near)).cast("float")
+        if isinstance(limit, float) and math.isinf(limit):
+            return None
+        whole = math.ceil(limit) if up else math.floor(limit)
+        try:
+            if isinstance(field, T.DateType):
+                return F.lit(date(1970, 1, 1) + timedelta(days=whole))
+            if isinstance(field, T.TimestampType):
+                return F.expr(f"timestamp_micros({whole}L)") if abs(whole) < 2**62 else None
+            if isinstance(field, T.TimestampNTZType):
+                return F.expr(f"timestamp_ntz'{datetime(1970, 1, 1) + timedelta(microseconds=whole)}'")
+        except OverflowError:
+            return None
+        if isinstance(field, T.DecimalType) and abs(whole) < 10**field.precision:
+            exact = Decimal(whole).scaleb(-field.scale) if field.precision <= 18 else Decimal(whole)
+            return F.lit(exact).cast(field.simpleString())
+        return None
+
+    return at(low, False), at(high, True)
 
-    A distinct aggregation, then a window over the distinct strings alone.
-    """
-    return df.select(F.col(name).alias("text")).where("text is not null").distinct().select("text", (F.row_number().over(Window.orderBy("text")) - 1).alias("code"))
+
+def dictionary(df: DataFrame, name: str) -> DataFrame:
+    """(text, code): the distinct strings of a column, numbered in order, by ranges of them."""
+    texts = df.select(F.col(name).alias("text")).where("text is not null").distinct().withColumn("one", F.lit(1))
+    return running(texts, "text", "one", "code").select("text", "code")
 
 
 def code_type(n_codes: int) -> ColumnType:

@@ -251,8 +251,8 @@ def test_access_paths(spark):
 def test_workloads(spark):
     c = of(spark, [float(k % 97) for k in range(400)], "double")
     bins = bins_of(c)
-    found = workload.run_workload(c, workload.growing_ranges(bins, 96.0)[:3] + workload.ranges_by_data(c, 1) + workload.ranges_by_bin(bins, list(range(60)), 2))
-    assert found.select("method").distinct().count() == 4 and found.where("query = 0 and n > 0").count() == 0
+    found = workload.run_workload(c, workload.growing_ranges(bins, 96.0)[:3] + workload.ranges_by_data(c, 1) + workload.ranges_by_bin(bins, list(range(60)), 2), others=[(64, 64), (256, 256)])
+    assert found.select("method").distinct().count() == 6 and found.where("query = 0 and n > 0").count() == 0
 
 
 def test_words_and_text(spark):
@@ -276,6 +276,80 @@ def test_scan_is_pushed_down(spark, sf_dir):
     assert "GreaterThan(p_size,3)" in plan and "LessThanOrEqual(p_size,9)" in plan and "p_name" not in plan.split("ReadSchema")[-1]
 
 
+PUSHED = {
+    "d double": ("cast(id as double) / 4", Range(1.5, 9.25), "1.5", "9.25"),
+    "f float": ("cast(id as float) / 4", Range(1.1, 9.25), "1.0", "9.25"),
+    "t date": ("date_add(date'1970-01-01', cast(id as int))", Range(3, 40), "1970-01-04", "1970-02-10"),
+    "s timestamp": ("timestamp_micros(id * 1000)", Range(3000, 40_000), "1970-01-01 00:00:00.003", "1970-01-01 00:00:00.04"),
+    "n timestamp_ntz": ("cast(timestamp_micros(id * 1000) as timestamp_ntz)", Range(3000, 40_000), "1970-01-01T00:00:00.003", "1970-01-01T00:00:00.040"),
+    "m decimal(7,2)": ("cast(id / 4 as decimal(7,2))", Range(110, 925), "1.10", "9.25"),
+}
+
+
+@pytest.mark.parametrize("name", PUSHED)
+def test_every_type_is_pushed_down(spark, tmp_path, name):
+    """Both limits reach the Parquet reader, and the rows are those that the checked comparison gives."""
+    sql, wanted, low, high = PUSHED[name]
+    spark.range(100).selectExpr("id as pos", f"case when id % 7 = 0 then null else {sql} end as x", "'wide' as other").coalesce(1).write.parquet(f"{tmp_path}/t")
+    c = column(spark.read.parquet(f"{tmp_path}/t"), "x", "pos")
+    for df in (scan.qualifying(c, wanted), signature.build_signatures(c).rows(wanted)):
+        plan = df._jdf.queryExecution().toString()
+        pushed = [line for line in plan.split("\n") if "PushedFilters" in line and "x" in line]
+        assert any("GreaterThan" in line.split("PushedFilters")[1] and "LessThanOrEqual" in line.split("PushedFilters")[1] for line in pushed), plan
+        assert low in plan and high in plan
+        assert "other" not in plan.split("ReadSchema")[-1]
+        want = c.rows.where(wanted.holds(F.col("v")))
+        assert sorted(r.pos for r in df.collect()) == sorted(r.pos for r in want.collect()) != []
+
+
+def test_limits_that_no_literal_has(spark):
+    df = spark.sql("select id as pos, date_add(date'1970-01-01', cast(id as int)) d, cast(id as float) f, cast(id as double) x, cast(id as decimal(7,2)) m from range(50)")
+    for name in "dfxm":
+        c = column(df, name, "pos")
+        for wanted in (Range(-1e30, 1e30), Range(float("-inf"), float("inf")), Range(-1e300, 1e300)):
+            assert scan.scan_count(c, wanted).first()[0] == 50
+        assert scan.scan_count(c, Range(5.5, 20.5)).first()[0] == c.rows.where("v > 5.5 and v <= 20.5").count()
+
+
+@pytest.mark.parametrize("per_task", [1, 3, 1000])
+def test_running_sums(spark, per_task):
+    from skipweave.functions.ordered import running
+
+    rng = random.Random(5)
+    keys = rng.sample(range(1000), 57)
+    rows = [(k, rng.randrange(9)) for k in keys] + [(None, 4)]
+    got = {r.k: r.before for r in running(spark.createDataFrame(rows, "k bigint, n int"), "k", "n", "before", per_task).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert got == {k: sum(n for _, n in order[:i]) for i, (k, _) in enumerate(order)}
+    assert running(spark.createDataFrame([], "k string, n int"), "k", "n", "before", per_task).count() == 0
+
+
+def test_counts_after_changes(spark):
+    """Values that become others, null, or come in place of null."""
+    values = [float(k) if k % 5 else None for k in range(64)]
+    c = of(spark, values, "double")
+    index = signature.build_signatures(c)
+    changed = {20: 3.5, 21: None, 22: 60.5, 25: 7.5, 40: None, 63: 0.5}
+    grown = updates.insert_bits(index, spark.createDataFrame(list(changed.items()), "pos bigint, v double"))
+    now = [changed.get(k, v) for k, v in enumerate(values)]
+    for low, high in ((-1.0, 100.0), (0.0, 10.0), (20.0, 22.0), (19.0, 41.0)):
+        wanted = Range(low, high)
+        want = [k for k, v in enumerate(now) if v is not None and low < v <= high]
+        assert positions(grown.positions(wanted)) == want
+        assert grown.count(wanted).first()[0] == len(want) == grown.counts([wanted]).first()[0]
+        assert (grown.sum(wanted).first()[0] or 0) == sum(now[k] for k in want)
+
+
+def test_conjunction_in_one_scan(spark, tmp_path):
+    spark.range(3000).selectExpr("id as pos", "cast(id % 40 as int) as a", "cast(id as double) as b", "'x' as c").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    terms = {"a": (signature.build_signatures(column(df, "a", "pos")), Range(5, 9)), "b": (signature.build_signatures(column(df, "b", "pos")), Range(100.0, 300.0))}
+    got = conjunction.qualifying_tuples(df, "pos", terms)
+    assert sorted(tuple(r) for r in got.collect()) == [(k, k % 40, float(k)) for k in range(3000) if 5 < k % 40 <= 9 and 100 < k <= 300]
+    scans = [line.split("PushedFilters")[1] for line in got._jdf.queryExecution().toString().split("\n") if "PushedFilters" in line and "GreaterThan" in line.split("PushedFilters")[1]]
+    assert any("(a,5)" in line and "(b,100.0)" in line for line in scans)
+
+
 @pytest.mark.parametrize("histogram", ["equidistinct", "equidepth"])
 @pytest.mark.parametrize("ends", ["(]", "[)", "[]", "()"])
 def test_any_histogram_and_ends(spark, histogram, ends):

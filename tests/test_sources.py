@@ -51,13 +51,50 @@ def test_saved_index_prunes(spark, tmp_path):
     from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
 
     list(reader.pushFilters([GreaterThan(("v",), 5), LessThanOrEqual(("v",), 900)]))
-    assert sum(hi - lo for p in reader.partitions() for lo, hi in p.ranges) < 5_000
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) < 5_000
     read = lambda *r: indexed.read_indexed(spark, str(tmp_path), Range(*r))
     assert read(5, 900).count() == 895
     assert read(77, 77, "[]").select("pos").collect()[0][0] == 77
     assert read(30_000, 40_000).count() == 0 and read(-1, 20_000).count() == 20_000
 
 
+def test_reads_are_planned_by_tasks(spark, tmp_path, monkeypatch):
+    """Only tasks with a candidate block are planned, from a row for each of them."""
+    from pyspark.sql.datasource import GreaterThan, LessThanOrEqual
+
+    monkeypatch.setattr(indexed, "ROWS_PER_TASK", 2048)
+    rows = spark.range(20_000).select(F.col("id").alias("pos"), F.col("id").alias("v"))
+    indexed.save(signature.build_signatures(Column(rows, types.LONG, "c"), 512), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/tasks").count() == 10
+    reader = indexed.SignatureReader(str(tmp_path))
+    list(reader.pushFilters([GreaterThan(("v",), 5000), LessThanOrEqual(("v",), 5900)]))
+    shares = reader.partitions()
+    assert [s.number for s in shares] == [2]
+    found = [v for s in shares for b in reader.read(s) for v in b.column("v").to_pylist()]
+    assert set(range(5001, 5901)) <= set(found) and len(found) < 2048
+
+
+def test_file_systems():
+    from skipweave.sources.files import file_system
+
+    where, path = file_system("file:///tmp/x")
+    assert path == "/tmp/x"
+    where, path = file_system("s3a://bucket/folder")
+    assert where.type_name == "s3" and path == "bucket/folder"
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from skipweave.sources.files import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
 def test_log_and_analysis(spark, tmp_path):
     (tmp_path / "log").write_text(
         "type blob not supported\ncreate label=a exp=simd bins=64 blocksize=64 time_creation_usec=2000 data_size_bytes=8000 type_size_bytes=8 vectors_size_bytes=16000 records=1000\n"
