@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import file_system, fresh_dir, shared_dir  # noqa: F401
+
 #: Bytes of output gathered before a batch is sent to the JVM.
 BATCH_BYTES = 4 << 20
 
@@ -21,26 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named and context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    if not named:
-        if context.getCheckpointDir() is None:
-            own = tempfile.mkdtemp(prefix="skipweave-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            context.setCheckpointDir(f"file://{own}")
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under shared_dir()."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files and checkpoints of finished rounds, which it does when their objects are collected."""
     gc.collect()
@@ -64,13 +42,18 @@ def training_texts(docs: DataFrame, labels: DataFrame, column: str, limit: int)
 
 
 class Memo(dict):
-    """A dict that computes missing values and keeps about the last `cap` to 2 * cap of them."""
+    """A dict that computes missing values and keeps about the last `cap` to 2 * cap of them; longer keys than LONGEST are
+    computed each time, so that its bytes are bounded too."""
+
+    LONGEST = 128
 
     def __init__(self, compute: Callable, cap: int = 150_000):
         super().__init__()
         self.compute, self.cap, self.old = compute, cap, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.compute(key)
         value = self.old.get(key, self)
         if value is self:
             value = self.compute(key)
@@ -81,6 +64,28 @@ class Memo(dict):
         return value
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(make: Callable) -> Callable:
+    """make(path), whose last result a process keeps until another factory's is asked for; so a worker that serves several
+    operators in turn holds the tables of one of them at a time."""
+
+    def get(path: str):
+        key = (make.__module__, make.__qualname__, path)
+        if key not in _kept:
+            let_go()
+            _kept[key] = make(path)
+        return _kept[key]
+
+    return get
+
+
+def let_go() -> None:
+    """Drops what kept() holds; for operators that keep nothing between tasks."""
+    _kept.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that Python holds few texts at a time."""
     for batch in batches:
