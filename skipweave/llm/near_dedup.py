@@ -1,45 +1,42 @@
 """Near duplicates by Order MinHash and banded alignment (operator 8).
 
-A text is the sequence of its five-word shingles, each labelled with its occurrence. For each of several hash functions
-the sketch of a text is its few smallest labelled shingles in text order. Texts that share a sketch are candidates, and
-an alignment of their shingles decides: two texts are linked if the shingles in common order make up 0.8 or more of all
-their shingles.
+A text is the sequence of its words. Its five-word shingles are labelled with their occurrence, and for each of several
+hash functions its sketch is the few smallest labelled shingles in text order. Texts that share a sketch are candidates,
+and a banded alignment of their words decides: two texts are linked if the words that they have in common, in order, make
+up 0.8 or more of all their words. So few edits, wherever they stand, never part two texts that met.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, release, shared_dir, slices, texts_of
+from .common import let_go, release, shared_dir, slices, texts_of
 from .components import connected_components
 
 #: Words of a shingle and least similarity of a link.
 WORDS = 5
 SIMILARITY = 0.8
-#: Sketches of a text, and shingles of a sketch: texts as similar as SIMILARITY share none with a chance of about
-#: (1 - 0.8 ** 4) ** 20, one in 38,000.
+#: Sketches of a text, and shingles of a sketch: texts whose shingles are alike to the share s (in common of all) share no
+#: sketch with a chance of about (1 - s ** 2) ** 20: one in 700 million at 0.8, 0.3 % at 0.5.
 BANDS = 20
-PICKED = 4
-#: Sixteenths of the buckets that the first rounds take; each round skips what is already in one class.
-SLICES = ((0, 3), (3, 16))
-#: Members of a bucket that its other members are compared with in each of the last rounds, over all buckets.
-LEADERS = 8
-#: The rounds with leaders give way to remainder() with one that links at most this share of the pairs that it aligns.
-LEAST_YIELD = 0.005
-#: Members of a part of a bucket, and shingles of a part of the texts to align, on the average; tasks take two parts at once.
-PART_MEMBERS = 1024
-PART_SHINGLES = 1 << 16
-#: Bytes of a text's profile, and the least similarity estimated from two profiles at which texts are aligned: over four
-#: standard deviations below SIMILARITY.
-PROFILE = 128
-LEAST_ESTIMATE = 0.65
+PICKED = 2
+#: Words of a part of the texts to align, on the average: of pairs with leaders, and of a bucket; tasks take two parts at once.
+PART_WORDS = 1 << 16
+BUCKET_WORDS = 1 << 18
+#: Bytes of a text's profile as it is kept, and as it is made within a task, each with the least similarity estimated from
+#: two such profiles at which texts are compared further: over four standard deviations below SIMILARITY.
+PROFILE, LEAST_ESTIMATE = 128, 0.65
+WIDE, LEAST_WIDE = 512, 0.72
+#: Half the width of the band that is tried first, and of the widest band whose matches are kept as bits of each word.
+NARROW = 32
+WIDEST = 1 << 13
 #: Slots of the bitmap that tells wanted texts from most others: 1 MB at most, whatever the corpus.
 SLOTS = 1 << 23
 SLOTS_PER_ROW = 1 << 15  # fixed by bitmap_construct_agg
@@ -56,128 +53,192 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[0])[:, None]
 _FACTORS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[1])[:, None] | np.uint64(1)
-_EDGES = np.arange(PROFILE, dtype=np.uint64) << np.uint64(57)
+_LAST = np.uint64(2**64 - 1)
 
 
-def word_memo() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, 100_000)
+def words_of(text: str) -> list[bytes]:
+    """Runs of anything but space and \\t to \\r."""
+    return text.encode("utf-8", "replace").split()
 
 
-def labelled_shingles(text: str, memo: Memo) -> np.ndarray:
-    """A number for each shingle, in order; equal shingles get numbers by occurrence, so all differ. A text of fewer than
-    WORDS words is one shingle, one without words none. Words are runs of anything but space and \\t to \\r."""
-    words = text.encode("utf-8", "replace").split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def labelled_shingles(codes: np.ndarray) -> np.ndarray:
+    """A number for each shingle of a text of these words, in order; equal shingles get numbers by occurrence, so all
+    differ. A text of fewer than WORDS words is one shingle, one without words none."""
+    if not len(codes):
+        return codes
     n = max(1, len(codes) - WORDS + 1)
-    rolled = np.zeros(n, np.uint64)
+    rolled = np.full(n, len(codes) if len(codes) < WORDS else 0, np.uint64)
     for k in range(min(WORDS, len(codes))):
-        rolled += mix(codes[k : k + n] + np.uint64(k)) * _ODD[k]
-    rolled = mix(rolled + np.uint64(len(codes) if len(codes) < WORDS else 0))
-    if n > 1:
+        rolled += codes[k : k + n] * _ODD[k]
+    rolled = mix(rolled)
+    ranked = np.sort(rolled)
+    if (ranked[1:] == ranked[:-1]).any():
         order = np.argsort(rolled, kind="stable")
-        ranked = rolled[order]
-        same = np.r_[False, ranked[1:] == ranked[:-1]]
-        if same.any():
-            at = np.arange(n)
-            nth = at - np.maximum.accumulate(np.where(same, 0, at))
-            rolled[order] = np.where(nth > 0, mix(ranked + nth.astype(np.uint64) * _ODD[1]), ranked)
+        rolled[order] = labelled(ranked)
     return rolled
 
 
+def labelled(ranked: np.ndarray) -> np.ndarray:
+    """Of sorted numbers: the first of equal ones as it is, each later one renamed by its occurrence."""
+    at = np.arange(len(ranked))
+    nth = at - np.maximum.accumulate(np.where(np.r_[False, ranked[1:] == ranked[:-1]], 0, at))
+    return np.where(nth > 0, mix(ranked + nth.astype(np.uint64) * _ODD[1]), ranked)
+
+
 def sketches(shingles: np.ndarray) -> np.ndarray:
     """A signed 64-bit sketch for each band: of the PICKED smallest shingles under its hash, in text order."""
-    values = (shingles[None, :] ^ _SEEDS) * _FACTORS
     picked = min(PICKED, len(shingles))
-    at = np.argpartition(values, picked - 1, axis=1)[:, :picked] if picked < len(shingles) else np.broadcast_to(np.arange(picked), (BANDS, picked))
-    at = np.sort(at, axis=1)
+    at = np.empty((BANDS, picked), np.int64)
+    step = max(1, (1 << 18) // len(shingles))  # bands at once, so that a long text takes little more memory than itself
+    for low in range(0, BANDS, step):
+        part = slice(low, min(low + step, BANDS))
+        values = (shingles[None, :] ^ _SEEDS[part]) * _FACTORS[part]
+        for k in range(picked):
+            at[part, k] = values.argmin(1)
+            values[np.arange(len(values)), at[part, k]] = _LAST
+    at.sort(1)
     out = np.full(BANDS, picked, np.uint64)
     for k in range(picked):
         out = mix(out * _ODD[2] + shingles[at[:, k]])
     return out.view(np.int64)
 
 
-def profile(shingles: np.ndarray) -> bytes:
-    """One byte for each of PROFILE ranges of numbers: of the smallest shingle there, or 0 where there is none."""
-    ranked = np.sort(shingles)
-    at = np.searchsorted(ranked, _EDGES)
-    filled = at < np.r_[at[1:], len(ranked)]
-    out = np.zeros(PROFILE, np.uint8)
-    out[filled] = 1 + (ranked[at[filled]] >> np.uint64(24)) % np.uint64(255)
-    return out.tobytes()
+def labelled_words(codes: np.ndarray) -> np.ndarray:
+    """A number for each word, sorted; equal words get numbers by occurrence, so all differ."""
+    return np.sort(mix(labelled(np.sort(codes))))
+
+
+def profile(words: np.ndarray, slots: int = PROFILE) -> np.ndarray:
+    """One byte for each of so many ranges of numbers: of the smallest labelled word there, or 0 where there is none."""
+    at = np.searchsorted(words, np.arange(slots, dtype=np.uint64) << np.uint64(65 - slots.bit_length()))
+    filled = at < np.r_[at[1:], len(words)]
+    out = np.zeros(slots, np.uint8)
+    out[filled] = 1 + (words[at[filled]] >> np.uint64(24)) % np.uint64(255)
+    return out
 
 
 def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of rows of profiles: the share of equal bytes where either has one."""
+    """Of rows of profiles: the share of equal bytes where either has one. It estimates the words in common of all words,
+    which no alignment exceeds."""
     either = ((a > 0) | (b > 0)).sum(1)
     return ((a == b) & (a > 0)).sum(1) / np.maximum(1, either)
 
 
-def in_common(a: np.ndarray, b: np.ndarray) -> int:
-    """Shingles of the longest common subsequence of two texts as similar as SIMILARITY; fewer for others.
+def in_band(a: np.ndarray, b: np.ndarray, left: int, right: int, needed: int) -> int:
+    """Longest common subsequence of a and b through positions i of a and j of b with -left <= i - j <= right, by one
+    addition of bit vectors as wide as the band for each word of b; stops where `needed` is out of reach.
 
-    As all numbers of a text differ, matches pair positions one to one, and the longest increasing run of positions is
-    the alignment. Positions further apart than the shingles that may stay unmatched lie outside the band.
+    Bit p of the vector stands for i = j - left + p and is 0 where the subsequence of the words so far grows by one.
     """
-    needed = SIMILARITY / (1 + SIMILARITY) * (len(a) + len(b))
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(i) < needed - 1e-9:
-        return 0
-    j = j[np.argsort(i, kind="stable")]
-    i = np.sort(i)
-    near = np.abs(i - j) <= len(a) + len(b) - 2 * needed + 1e-9
-    j = j[near]
-    if (np.diff(j) > 0).all():
-        return len(j)
-    tails: list[int] = []
-    for x in j.tolist():
-        k = bisect_left(tails, x)
-        tails[k : k + 1] = [x]
-    return len(tails)
+    width = left + right + 1
+    everything, top = (1 << width) - 1, 1 << (width - 1)
+    state, found = everything, 0
+    rows = b.tolist()
+    step = max(4 * width, 256) if width <= 2 * NARROW + 1 else max(width, 256)
+    for first in range(0, len(rows), step):
+        part = rows[first : first + step]
+        low = max(0, first - left)
+        bits: dict[int, int] = {}
+        if width <= 2 * WIDEST:
+            for k, x in enumerate(a[low : first + len(part) + right].tolist(), low + left - first):
+                bits[x] = bits.get(x, 0) | (1 << k)
+        for k, x in enumerate(part):
+            if width <= 2 * WIDEST:
+                match = (bits.get(x, 0) >> k) & everything
+            else:  # a row at a time, in memory of the band's width
+                begin = max(0, first + k - left)
+                same = np.packbits(a[begin : first + k + right + 1] == np.uint64(x), bitorder="little")
+                match = int.from_bytes(same.tobytes(), "little") << (begin - (first + k - left))
+            hit = state & match
+            state = ((state + hit) | (state - hit)) & everything
+            found += not state & 1
+            state = (state >> 1) | top
+        if found + width - state.bit_count() + len(rows) - first - len(part) < needed:
+            return 0
+    return found + width - state.bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    m = in_common(a, b)
-    return bool(m) and m >= SIMILARITY * (len(a) + len(b) - m) - 1e-9
+    """Whether the words in common, in order, are SIMILARITY of all words of two texts (their word codes).
+
+    Words at both ends that agree are taken off. Paths with enough words in common leave no more than the rest unmatched,
+    so they stay in a band about the diagonal; a narrow band is tried first, and the whole of it decides.
+    """
+    needed = int(np.ceil(SIMILARITY / (1 + SIMILARITY) * (len(a) + len(b)) - 1e-9))
+    if not needed or needed > min(len(a), len(b)):
+        return False
+    for turn in (1, -1):
+        short = min(len(a), len(b))
+        x, y = a[::turn][:short], b[::turn][:short]
+        differ = x != y
+        same = int(differ.argmax()) if differ.any() else short
+        a, b, needed = (a[same:], b[same:], needed - same) if turn == 1 else (a[: len(a) - same], b[: len(b) - same], needed - same)
+    if needed <= 0:
+        return True
+    if needed > min(len(a), len(b)):
+        return False
+    left, right = len(b) - needed, len(a) - needed
+    if max(left, right) > NARROW and in_band(a, b, min(left, NARROW), min(right, NARROW), needed) >= needed:
+        return True
+    if left + right > 512 and (Counter(a.tolist()) & Counter(b.tolist())).total() < needed:
+        return False
+    return in_band(a, b, left, right, needed) >= needed
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, sketches, profile): key names the sequence of words (128 bits), n counts shingles."""
+    """(doc_id, key, n, sketches, profile): key names the sequence of words (128 bits), n counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
+        let_go()
         for batch in slices(batches):
             keys, counts, found, profiles = [], [], [], []
             for text in texts_of(batch):
-                shingles = labelled_shingles(text, memo)
-                keys.append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode("utf-8", "replace").split())))
-                counts.append(len(shingles))
-                found.append(sketches(shingles) if len(shingles) else np.zeros(0, np.int64))
-                profiles.append(profile(shingles))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": keys, "n": pa.array(counts, pa.int32()), "sketches": pa.array(found, pa.list_(pa.int64())), "profile": pa.array(profiles, pa.binary())})
+                words = words_of(text)
+                codes = word_codes(words)
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                counts.append(len(codes))
+                found.append(sketches(labelled_shingles(codes)) if len(codes) else np.zeros(0, np.int64))
+                profiles.append(profile(labelled_words(codes)).tobytes())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": pa.array(keys, pa.binary()), "n": pa.array(counts, pa.int32()), "sketches": pa.array(found, pa.list_(pa.int64())), "profile": pa.array(profiles, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key string, n int, sketches array<long>, profile binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, n int, sketches array<long>, profile binary")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(id, root, bucket): where each text meets others, by sketch and size. Texts of sizes within a factor 1 / SIMILARITY
-    share a size class: that of log2 n, and the next for those just below it."""
+    """(id, n, bucket): where each text meets others, by sketch and size. Texts of sizes within a factor 1 / SIMILARITY share
+    a size class: that of log2 n, and the next for those just below it."""
     size = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     classes = F.when(F.col("n") / SIMILARITY >= F.pow(F.lit(2.0), size + 1) - 1e-9, F.array(size, size + 1)).otherwise(F.array(size))
-    placed = texts.select("id", "root", F.posexplode("sketches").alias("band", "sketch"), classes.alias("classes")).select("id", "root", "band", "sketch", F.explode("classes").alias("size_class"))
-    return placed.select("id", "root", F.xxhash64("band", "size_class", "sketch").alias("bucket"))
+    placed = texts.select("id", "n", F.posexplode("sketches").alias("band", "sketch"), classes.alias("classes")).select("id", "n", "band", "sketch", F.explode("classes").alias("size_class"))
+    return placed.select("id", "n", F.xxhash64("band", "size_class", "sketch").alias("bucket"))
+
+
+def with_company(members: DataFrame) -> DataFrame:
+    """(id, n, bucket, weight): members (id, n, bucket) of buckets that hold several ids; a text's weight is the sum of the
+    sizes of its buckets, which is largest in the middle of a group."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    shared = members.join(sizes.select("bucket", "size"), "bucket")
+    weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    return shared.select("id", "n", "bucket").join(weights, "id")
+
+
+def led(shared: DataFrame) -> DataFrame:
+    """(a, b): each member a of the buckets of with_company() with its bucket's leader b, its member of the largest weight.
+    As one order of texts decides in all buckets, those of one group draw the same few leaders, near to most of the group."""
+    leaders = shared.groupBy("bucket").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"))).alias("leader"))
+    return shared.join(leaders, "bucket").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
 
 
-def candidates(members: DataFrame, salt: int, leaders: int = 1) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's leaders of other classes (root), members chosen anew for each
-    bucket and salt. At most `leaders` pairs for each row, whatever the bucket's size; leaders are found by partial
-    aggregation, and a large bucket's rows can be split in the join."""
-    lot = F.xxhash64("id", "bucket", F.lit(salt))
-    part = F.pmod(F.xxhash64("id", F.lit(salt), F.lit("part")), F.lit(leaders)).alias("part")
-    chosen = members.groupBy("bucket", part).agg(F.min_by("id", lot).alias("leader"), F.min_by("root", lot).alias("leader_root"))
-    pairs = members.join(chosen, "bucket").where("root <> leader_root")
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+def mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root, bucket, parts): members (id, n, bucket) of buckets that hold several classes, and how many parts of about
+    BUCKET_WORDS words a bucket has; roots: (node, root) of linked texts, others being classes of their own."""
+    rows = shared.join(roots, shared["id"] == roots["node"], "left").select("id", "n", F.coalesce("root", "id").alias("root"), "bucket")
+    several = rows.groupBy("bucket").agg(F.sum("n").alias("words"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
+    return rows.join(several.select("bucket", F.ceil(F.col("words") / BUCKET_WORDS).cast("int").alias("parts")), "bucket").drop("n")
 
 
 def likely_among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,41 +268,78 @@ def likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     return first.join(profiles.select(F.col("id").alias("b"), F.col("profile").alias("profile_b")), "b").select("a", "b", "profile_a", "profile_b").mapInArrow(run, "a long, b long")
 
 
-def remainder(members: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(a, b, root_a, root_b): all pairs of members (id, root, bucket) that share a bucket but no class and that their
-    profiles do not rule out. Buckets are cut into parts of about PART_MEMBERS; each two parts, and each with itself, are
-    a cell whose pairs one task compares in memory, so only likely pairs are listed."""
-    mixed = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    parts = F.ceil(F.col("size") / PART_MEMBERS).cast("int")
-    rows = members.join(mixed.select("bucket", parts.alias("parts")), "bucket").join(profiles, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+class Union:
+    """Roots that have met."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(above, above)
+        return x
+
+    def meet(self, x: int, y: int) -> None:
+        self.up[self.top(x)] = self.top(y)
+
+
+def remainder(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among the members (id, root, bucket, parts) of each bucket whose classes differ, enough of them to lead
+    wherever all would; docs: (id, text).
+
+    Buckets are cut into their parts; each two parts, and each with itself, are a cell, to which the members' texts are
+    sent, and whose pairs one task compares: by wide profiles, then by all their words, then by alignment. Roots that
+    already meet are not compared again, so what a cell gives is no more than its members.
+    """
+    rows = likely_among(docs, members.select("id")).join(members, "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "root", "profile")
+    rows = rows.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "root", "text")
     cell = ["bucket", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[np.ndarray] = []
+        links: list[tuple[int, int]] = []
         for (_, low, high), table in cells(batches, cell):
-            part, ids, roots = (table.column(c).to_numpy() for c in ("part", "id", "root"))
-            found = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(-1, PROFILE)
-            for i in range(len(ids)) if low == high else np.flatnonzero(part == low):
-                rest = np.arange(i + 1, len(ids)) if low == high else np.flatnonzero(part == high)
-                rest = rest[roots[rest] != roots[i]]
-                if len(rest) and len(rest := rest[estimates(found[i : i + 1], found[rest]) >= LEAST_ESTIMATE]):
-                    one = np.array([[ids[i], roots[i]]]).repeat(len(rest), 0)
-                    two = np.stack([ids[rest], roots[rest]], 1)
-                    swap = (one[:, 0] > two[:, 0])[:, None]
-                    out.append(np.hstack([np.where(swap, two, one), np.where(swap, one, two)]))
-            if sum(map(len, out)) >= 50_000:
-                yield pairs_of(out)
-                out = []
-        if out:
-            yield pairs_of(out)
-
-    def pairs_of(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, root_a, b, root_b = np.unique(np.vstack(found), axis=0).T
-        return pa.RecordBatch.from_pydict({"a": a.copy(), "b": b.copy(), "root_a": root_a.copy(), "root_b": root_b.copy()})
-
-    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long, root_a long, root_b long").distinct()
+            links += cell_links(*(table.column(c).to_pylist() for c in ("part", "id", "root", "text")), low, high)
+            if len(links) >= 10_000:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
+                links = []
+        if links:
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
+
+    return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long")
+
+
+def cell_links(parts: list[int], ids: list[int], roots: list[int], texts: list[str], low: int, high: int) -> list[tuple[int, int]]:
+    """Links between members of the parts low and high of a bucket (of one part, where these are the same)."""
+    seen, own, codes, words = set(), [], [], []
+    for k, text in enumerate(texts):
+        found = word_codes(words_of(text))
+        if (key := (ids[k], found.tobytes())) not in seen:  # a row may be repeated
+            seen.add(key)
+            own.append(k)
+            codes.append(found)
+            words.append(labelled_words(found))
+    profiles = np.array([profile(w, WIDE) for w in words]).reshape(-1, WIDE)
+    root, part = np.array([roots[k] for k in own], np.int64), np.array([parts[k] for k in own])
+    left, right = (np.arange(len(own)),) * 2 if low == high else (np.flatnonzero(part == low), np.flatnonzero(part == high))
+    met, links = Union(), []
+    step = max(1, 2048 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i, j = (x.ravel() for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
+        apart = (root[i] != root[j]) & ((i < j) | (low < high))
+        i, j = i[apart], j[apart]
+        close = estimates(profiles[i], profiles[j]) >= LEAST_WIDE
+        for x, y in zip(i[close].tolist(), j[close].tolist()):
+            if met.top(int(root[x])) != met.top(int(root[y])) and enough_words(words[x], words[y]) and similar(codes[x], codes[y]):
+                met.meet(int(root[x]), int(root[y]))
+                links.append((ids[own[x]], ids[own[y]]))
+    return links
+
+
+def enough_words(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the labelled words in common, in any order, are as many as similar() asks for."""
+    m = len(np.intersect1d(a, b, assume_unique=True))
+    return m >= SIMILARITY * (len(a) + len(b) - m) - 1e-9
 
 
 def cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -265,40 +363,34 @@ def cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple
 
 
 def verify(pairs: DataFrame, docs: DataFrame, mean: float) -> DataFrame:
-    """Links (a, b) among pairs (a, b, root_a, root_b) whose texts, among docs (id, text), are similar; enough of them to
-    lead wherever all would, as roots that already meet are not aligned again.
+    """Links (a, b) among pairs (a, b) whose texts, among docs (id, text), are similar; enough of them to lead wherever all
+    would, as texts that already meet are not aligned again.
 
-    Texts are dealt into parts of about PART_SHINGLES (mean: shingles of a text), and a text is sent once to each cell of
-    two parts in which it has a pair, not once for each pair.
+    Texts are dealt into parts of about PART_WORDS, were there a text for each pair (mean: words of a text), and a text is sent once to each cell of two
+    parts in which it has a pair, not once for each pair. Of an id with several texts, any that is similar links it.
     """
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    parts = max(1, int(ids.count() * mean / PART_SHINGLES))
+    parts = max(1, int(pairs.count() * mean / PART_WORDS))
     part = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("cell")), F.lit(parts))
     placed = pairs.withColumn("cell", part("a") * parts + part("b"))
     wanted = placed.select("cell", F.col("a").alias("id")).union(placed.select("cell", F.col("b").alias("id"))).distinct()
-    texts = likely_among(docs, ids).join(ids, "id").distinct().join(wanted, "id")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    texts = likely_among(docs, ids).join(wanted, "id")
     none = F.lit(None).cast("long")
-    rows = texts.select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("root_a"), none.alias("root_b"), "text")
-    rows = rows.unionByName(placed.select("cell", F.lit(1).alias("kind"), "a", "b", "root_a", "root_b", F.lit(None).cast("string").alias("text")))
+    rows = texts.select("cell", F.lit(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), "text")
+    rows = rows.unionByName(placed.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_memo()
-        now, shingles, up = None, {}, {}
-
-        def top(x: int) -> int:
-            while (above := up.get(x, x)) != x:
-                up[x] = x = up.get(above, above)
-            return x
-
+        now, codes, met = None, {}, Union()
         for batch in slices(batches):
             links = []
-            for cell, kind, a, b, root_a, root_b, text in zip(*(batch.column(c).to_pylist() for c in ("cell", "kind", "a", "b", "root_a", "root_b", "text"))):
+            for cell, kind, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("cell", "kind", "a", "b", "text"))):
                 if cell != now:
-                    now, shingles, up = cell, {}, {}
+                    now, codes, met = cell, {}, Union()
                 if kind == 0:
-                    shingles.setdefault(a, []).append(labelled_shingles(text, words))
-                elif (x := top(root_a)) != (y := top(root_b)) and any(similar(s, t) for s in shingles[a] for t in shingles[b]):
-                    up[x] = y
+                    own = word_codes(words_of(text))
+                    codes.setdefault(a, {})[own.tobytes()] = own
+                elif met.top(a) != met.top(b) and any(similar(s, t) for s in codes[a].values() for t in codes[b].values()):
+                    met.meet(a, b)
                     links.append((a, b))
             if links:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in links], "b": [b for _, b in links]})
@@ -310,70 +402,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, copy_of) of each row: class_id is the smallest doc_id that chains of links lead to, copy_of the
     smallest with the same words in the same order. docs: doc_id and text, other columns are left out.
 
-    Equal texts (also null and empty ones, which have no words) are one text throughout. In each bucket of a sketch the
-    texts are compared with one leader, first over some buckets, then over the rest; then, over all buckets, those still in
-    other classes are compared with LEADERS other leaders, until a round links next to nothing (LEAST_YIELD). These rounds
-    only save work: in the end all pairs that share a bucket and are still in different classes are compared (remainder),
-    so the classes do not depend on leaders or rounds. Rows with equal ids are classed by their texts, and the texts of one
-    id count as linked. A row without an id gets the class of its copies that have one, else null; it links nothing. An
-    empty table gives no rows.
+    Equal texts (also null and empty ones, which have no words) are one text throughout. Of the buckets of sketches only
+    those with several texts are kept. In each the texts are first compared with a leader, which links most of a group.
+    This only saves work: then all pairs that share a bucket and are still in different classes are compared (remainder),
+    so the classes do not depend on leaders. Rows with equal ids are classed by their texts, and the texts of one id count
+    as linked. A row without an id gets the class of its copies that have one, else null; it links nothing. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     shared_dir(spark)
     rows = signatures(docs).checkpoint()
-    copies = rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sketches", "profile")))
-    copies = copies.checkpoint()
-    # a document whose rows differ has several texts
-    texts = copies.where("id is not null and n > 0").select("id", "n", "sketches", "profile")
+    copies = rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "sketches", "profile"))).checkpoint()
+    texts = copies.where("id is not null and n > 0")
+    profiles = texts.select("id", "profile")
     full = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
     mean = texts.agg(F.avg("n")).first()[0] or 1.0
-    roots = tried = None
-    turn = 0
-
-    def placed() -> DataFrame:
-        classed = texts.withColumn("root", F.col("id")) if roots is None else texts.join(roots, texts["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
-        return buckets(classed)
-
-    def joined(found: DataFrame) -> DataFrame:
-        return connected_components(found if roots is None else found.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    while True:
-        last = turn >= len(SLICES)
-        members = placed()
-        if not last:
-            part = F.pmod("bucket", F.lit(16))
-            members = members.where((part >= SLICES[turn][0]) & (part < SLICES[turn][1]))
-        pairs = candidates(members, turn, LEADERS if last else 1)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        tried = pairs if tried is None else tried.union(pairs)
-        close = likely(pairs, texts.select("id", "profile")).distinct().checkpoint()
-        found = verify(close.select("a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b")), full, mean).checkpoint()
-        linked, aligned = found.count(), close.count()
-        if linked:
-            roots = joined(found)
-        turn += 1
-        release(spark)
-        if last and linked <= LEAST_YIELD * aligned:
-            break
-    left = remainder(placed(), texts.select("id", "profile")).checkpoint()
-    found = verify(left, full, mean).checkpoint()
-    if found.count():
-        roots = joined(found)
+
+    shared = with_company(buckets(texts)).checkpoint()
+    links = verify(likely(led(shared), profiles).checkpoint(), full, mean).checkpoint()
+    rest = remainder(mixed(shared, connected_components(links)).checkpoint(), full)
+    roots = connected_components(links.union(rest))
     release(spark)
-    classes = copies.select("key", F.col("id").alias("copy_of"))
-    if roots is not None:
-        classes = classes.join(roots, F.col("copy_of") == F.col("node"), "left").select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
-    else:
-        classes = classes.withColumn("class_id", F.col("copy_of"))
+    classes = copies.select("key", F.col("id").alias("copy_of")).join(roots, F.col("copy_of") == F.col("node"), "left").select("key", "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     return rows.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id", "copy_of")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, that of its smallest doc_id; of rows with equal ids one stays. Rows without an id
-    stay. All columns are kept."""
+    """docs with one row of each class, that of its smallest doc_id; of rows with equal ids that with the smallest text stays
+    (then of the smallest hash of all columns). Rows without an id stay. All columns are kept."""
     first = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["__first"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = kept.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct("text", F.xxhash64(*(F.col(f"`{c}`") for c in hashed)))).alias("__row"))
+    return one.select("__row.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -21,8 +21,12 @@ from skipweave.llm.queries import QUERIES
 # near duplicates
 
 
+def words_of(text):
+    return re.findall("[^\x20\x09-\x0d]+", text or "")
+
+
 def slow_shingles(text):
-    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    words = words_of(text)
     grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] * bool(words)
     seen = Counter()
     out = []
@@ -42,27 +46,37 @@ def slow_common(a, b):
     return row[-1]
 
 
-def slow_similar(s, t):
-    a, b = slow_shingles(s), slow_shingles(t)
+def slow_similar(a, b):
+    """Of two sequences."""
     m = slow_common(a, b)
     return m > 0 and m >= 0.8 * (len(a) + len(b) - m) - 1e-9
 
 
-def slow_classes(texts):
-    root = list(range(len(texts)))
+def sketches_of(text):
+    codes = near_dedup.word_codes(near_dedup.words_of(text or ""))
+    return set(enumerate(near_dedup.sketches(near_dedup.labelled_shingles(codes)).tolist())) if len(codes) else set()
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    words = [" ".join((t or "").split()) for t in texts]
+def classes_of(texts, linked):
+    root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if words[i] == words[j] or slow_similar(texts[i], texts[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return [find(i) for i in range(len(texts))]
+            if root[i] != root[j] and linked(i, j):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def slow_classes(texts):
+    """Of all pairs that share a sketch, by the quadratic alignment of their words."""
+    words, found = [words_of(t) for t in texts], [sketches_of(t) for t in texts]
+    return classes_of(texts, lambda i, j: words[i] == words[j] or (bool(found[i] & found[j]) and slow_similar(words[i], words[j])))
+
+
+def least_classes(texts):
+    """Of all pairs whose shingles are similar, whatever their sketches."""
+    words, shingles = [words_of(t) for t in texts], [slow_shingles(t) for t in texts]
+    return classes_of(texts, lambda i, j: words[i] == words[j] or slow_similar(shingles[i], shingles[j]))
 
 
 def varied(rng, base, edits):
@@ -73,31 +87,81 @@ def varied(rng, base, edits):
     return " ".join(words)
 
 
-def test_alignment_by_brute_force():
-    rng, memo = random.Random(1), near_dedup.word_memo()
-    for _ in range(300):
-        base = [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randint(1, 60))]
-        s, t = " ".join(base), varied(rng, base, rng.randint(0, 4))
-        a, b = near_dedup.labelled_shingles(s, memo), near_dedup.labelled_shingles(t, memo)
-        assert len(a) == len(slow_shingles(s)) == len(set(a.tolist()))
-        assert near_dedup.similar(a, b) == slow_similar(s, t), (s, t)
+@pytest.mark.parametrize("narrow, widest", [(32, 1 << 13), (1, 1 << 13), (2, 2)])
+def test_alignment_by_brute_force(monkeypatch, narrow, widest):
+    monkeypatch.setattr(near_dedup, "NARROW", narrow)
+    monkeypatch.setattr(near_dedup, "WIDEST", widest)
+    rng, linked = random.Random(1), 0
+    for _ in range(600):
+        base = [rng.randrange(rng.choice([3, 20, 1000])) for _ in range(rng.randint(1, 90))]
+        other = list(base)
+        for _ in range(rng.randint(0, 1 + len(base) // 6)):
+            k = rng.randrange(len(other) or 1)
+            other[k : k + rng.choice([0, 1, 1, 3])] = [rng.randrange(50)] * rng.choice([0, 1, 1, 2])
+        if rng.random() < 0.3:
+            k = rng.randrange(len(other) + 1)
+            other = other[k:] + other[:k]
+        got = near_dedup.similar(np.array(base, np.uint64), np.array(other, np.uint64))
+        assert got == slow_similar(base, other), (base, other)
+        linked += got
+    assert 150 < linked < 500
+
+
+def test_copies_with_moved_ends_of_long_texts():
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 5000, 40_000, dtype=np.uint64)
+    assert near_dedup.similar(text, np.r_[rng.integers(0, 5000, 3000, dtype=np.uint64), text[:37_000]])
+    assert not near_dedup.similar(text, rng.permutation(text))
+
+
+def test_shingles_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))
+        got = near_dedup.labelled_shingles(near_dedup.word_codes(near_dedup.words_of(text)))
+        assert len(got) == len(slow_shingles(text)) == len(set(got.tolist()))
+    own = lambda s: near_dedup.labelled_shingles(near_dedup.word_codes(near_dedup.words_of(s)))
+    once, twice = own("a b c d e"), own("a b c d e a b c d e")
+    assert once[0] == twice[0] and len(set(twice.tolist())) == 6
 
 
-def test_labels_name_occurrences():
-    memo = near_dedup.word_memo()
-    once, twice = near_dedup.labelled_shingles("a b c d e", memo), near_dedup.labelled_shingles("a b c d e a b c d e", memo)
-    assert once[0] == twice[0] and len(set(twice.tolist())) == 6
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 20_000])
+def test_sketches_by_brute_force(n):
+    """Each is made of the two smallest numbers under its hash, in text order."""
+    shingles = near_dedup.mix(np.arange(n, dtype=np.uint64) + np.uint64(17))
+    found = near_dedup.sketches(shingles).tolist()
+    for band in range(near_dedup.BANDS):
+        seed, factor = int(near_dedup._SEEDS[band, 0]), int(near_dedup._FACTORS[band, 0])
+        order = sorted(range(n), key=lambda k: (int(shingles[k]) ^ seed) * factor % 2**64)
+        pair = shingles[sorted(order[:2])]
+        assert near_dedup.sketches(pair)[band] == found[band]
+        if n > 1:
+            assert near_dedup.sketches(pair[::-1].copy())[band] != found[band]
 
 
 def test_estimates():
     rng = np.random.default_rng(0)
-    for n in (3, 20, 500, 5000):
-        both = rng.integers(0, 2**64, n * 8, dtype=np.uint64)
-        a, b = both[: n * 9 // 2], np.r_[both[: n * 4], both[n * 5 :]]
-        profiles = [np.frombuffer(near_dedup.profile(x), np.uint8)[None] for x in (a, b)]
-        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert abs(near_dedup.estimates(*profiles)[0] - true) < 0.25
-    assert near_dedup.profile(np.zeros(0, np.uint64)) == bytes(128)
+    for n in (3, 20, 100, 500, 5000):
+        for _ in range(50):
+            both = rng.integers(0, 2**64, n * 9, dtype=np.uint64)
+            a, b = both[: n * 8], np.r_[both[: n * 7 + n // 9], both[n * 8 :]]
+            true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            for slots, off in ((near_dedup.PROFILE, 0.8 - near_dedup.LEAST_ESTIMATE), (near_dedup.WIDE, 0.8 - near_dedup.LEAST_WIDE)):
+                profiles = [near_dedup.profile(near_dedup.labelled_words(x), slots)[None] for x in (a, b)]
+                assert abs(near_dedup.estimates(*profiles)[0] - true) < off
+    assert not near_dedup.profile(np.zeros(0, np.uint64)).any()
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    for text in ("x" * 20_000_000, "ab cd " * 500_000):
+        tracemalloc.start()
+        codes = near_dedup.word_codes(near_dedup.words_of(text))
+        near_dedup.sketches(near_dedup.labelled_shingles(codes))
+        near_dedup.profile(near_dedup.labelled_words(codes))
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
 
 
 @pytest.fixture(scope="module")
@@ -125,48 +189,63 @@ def test_classes_by_brute_force(spark, corpus):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(slow_classes(corpus)))
 
 
-def test_large_group_of_near_copies(spark):
-    rng = random.Random(8)
-    base = [f"w{k}" for k in range(200)]
-    texts = [varied(rng, base, 2) for _ in range(150)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == slow_classes(texts)
+def test_all_similar_shingles_are_linked(spark, corpus):
+    docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    for k, least in enumerate(least_classes(corpus)):
+        assert got[k] == got[least]
 
 
-def family(n, edits, seed=9):
-    """Variants of one original, nearly all of whose shingles many share: large buckets, in which few pairs are similar."""
+def family(n, edits, seed=9, words=100):
+    """Variants of one original."""
     rng = random.Random(seed)
     texts = []
     for _ in range(n):
-        words = [f"w{k}" for k in range(100)]
-        for k in rng.sample(range(100), rng.randint(*edits)):
-            words[k] = f"new{rng.randrange(10**6)}"
-        texts.append(" ".join(words))
+        text = [f"w{k}" for k in range(words)]
+        for k in rng.sample(range(words), rng.randint(*edits)):
+            text[k] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(text))
     return texts
 
 
-def all_pairs_classes(texts):
-    """Of texts without repeated shingles: by near_dedup.similar(), which is held against brute force above, on all pairs."""
-    memo = near_dedup.word_memo()
-    shingles = [near_dedup.labelled_shingles(t, memo) for t in texts]
-    sets = [set(s.tolist()) for s in shingles]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) * 1.8 >= 0.799 * (len(sets[i]) + len(sets[j])) and near_dedup.similar(shingles[i], shingles[j]):
-                a, b = sorted((root[i], root[j]))
-                root = [a if r == b else r for r in root] if a != b else root
-    return root
+def test_large_group_of_near_copies(spark):
+    texts = family(2000, (2, 4)) + family(30, (40, 60), 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()]
+    assert set(got[:2000]) == {0} and len(set(got[2000:])) == 30
+
+
+def test_short_texts(spark):
+    """Pairs of four and five shingles in common are as similar as the limit; nearly all must meet."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(1000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()]
+    assert got == [k - k % 2 for k in range(2000)]
 
 
 def test_hidden_pairs_of_a_large_family(spark):
-    texts = family(1000, (2, 4))
+    """Few pairs are similar, but nearly all share buckets: leaders alone would miss some."""
+    texts = family(700, (7, 9))
+    codes = [near_dedup.word_codes(near_dedup.words_of(t)) for t in texts]
+    found = [sketches_of(t) for t in texts]
+    want = classes_of(texts, lambda i, j: bool(found[i] & found[j]) and near_dedup.similar(codes[i], codes[j]))
+    assert 20 < len(set(want)) < 680
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = all_pairs_classes(texts)
-    assert 500 < len(set(want)) < 900
     assert [r.class_id for r in near_dedup.near_duplicates(docs).orderBy("doc_id").collect()] == want
 
 
+def test_one_of_rows_with_equal_ids_stays(spark):
+    rows = [(1, "b b b b b b", 1), (1, "a a a a a a", 2), (1, "a a a a a a", 3), (2, "b b b b b b", 4)]
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, "doc_id long, text string, extra int")
+        kept = near_dedup.without_near_duplicates(docs).collect()
+        assert [(r.doc_id, r.text) for r in kept] == [(1, "a a a a a a")]
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "alone"), (2, None), (3, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -177,16 +256,15 @@ def test_odd_rows(spark):
 
 
 def test_query_finds_all_links(spark, sf_dir):
+    """All pairs that share a sketch, or most of their shingles, by the quadratic alignment."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
     got = {r.doc_id: r.class_id for r in QUERIES["op8_near_dedup"](spark, sf_dir).collect()}
+    words, found = [words_of(d.text) for d in docs], [sketches_of(d.text) for d in docs]
     grams = [Counter(g for g, _ in slow_shingles(d.text)) for d in docs]
-    close = {(i, j) for i in range(len(docs)) for j in range(i) if sum((grams[i] & grams[j]).values()) * 1.8 >= 0.79 * (grams[i].total() + grams[j].total())}
-    root = {d.doc_id: d.doc_id for d in docs}
-    for i, j in sorted(close):
-        if docs[i].text.split() == docs[j].text.split() or (len(grams[i]) < 3000 and slow_similar(docs[i].text, docs[j].text)):
-            a, b = sorted((root[docs[i].doc_id], root[docs[j].doc_id]))
-            root = {k: a if v == b else v for k, v in root.items()}
-    assert got == root
+    alike = lambda i, j: sum((grams[i] & grams[j]).values()) * 1.8 >= 0.8 * (grams[i].total() + grams[j].total())
+    near = lambda i, j: bool(found[i] & found[j]) or alike(i, j)
+    root = classes_of(docs, lambda i, j: words[i] == words[j] or (near(i, j) and max(len(words[i]), len(words[j])) < 3000 and slow_similar(words[i], words[j])))
+    assert got == {d.doc_id: docs[r].doc_id for d, r in zip(docs, root)}
 
 
 @settings(max_examples=15, deadline=None)
@@ -296,6 +374,33 @@ def test_archives(spark, least):
     assert empty.count() == 0 and warc.read_archives(empty, 0).count() == 0
 
 
+def test_query_records(spark, sf_dir):
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
+    got = QUERIES["op6_warc"](spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted((tuple(r) for r in got), key=str) == slow_records(pages)
+
+
+def other(kind, block, *fields):
+    head = "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", f"Content-Length: {len(block)}", *fields]) + "\r\n\r\n"
+    return gzip_of(head.encode() + block + b"\r\n\r\n")
+
+
+def test_records_of_others():
+    """Other kinds pass as they are; a response may lack digests and the length of its payload."""
+    http = "Content-Type: application/http;msgtype=response"
+    parts = [
+        other("warcinfo", b"software: x\r\nformat: y\r\n", "Content-Type: application/warc-fields"), other("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http;msgtype=request"),
+        other("response", b"HTTP/1.1 200 OK\r\n\r\nbody", http), other("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nbody\r\n0\r\n", http, "WARC-Payload-Digest: sha1:OTHER"),
+        other("metadata", b""), other("revisit", b"", http),
+    ]
+    rows = list(warc.chunks_of(warc.Source(io.BytesIO(b"".join(parts)))))
+    assert [(r["record_type"], r["chunk"]) for r in rows] == [("warcinfo", b"software: x\r\nformat: y\r\n"), ("request", b"GET / HTTP/1.1\r\n\r\n"), ("response", b"body"), ("response", b"4\r\nbody\r\n0\r\n"), ("metadata", b""), ("revisit", b"")]
+    assert rows[2]["digest_so_far"] == base64.b32encode(hashlib.sha1(b"body").digest()).decode() and rows[2]["bytes_so_far"] == 4
+    assert rows[5]["digest_so_far"] is None and rows[5]["bytes_so_far"] is None
+    with pytest.raises(ValueError, match="length"):
+        list(warc.chunks_of(warc.Source(io.BytesIO(gzip_of(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\n\r\nx\r\n\r\n")))))
+
+
 def record(page_id, data):
     gzip = zlib.compressobj(wbits=31)
     return gzip.compress(warc.record_head(page_id, "u", len(data), hashlib.sha1(data).digest(), None) + data + b"\r\n\r\n") + gzip.flush()
