@@ -6,13 +6,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Trees, train
-from .common import slices, texts_of, training_texts
+from .common import let_go, slices, texts_of, training_texts
 
 #: Labelled rows that the trees are fitted on, at most.
 TRAINING_ROWS = 10_000
@@ -103,12 +102,13 @@ def quality_rules(docs: DataFrame, trees: Trees) -> DataFrame:
 def is_kept(text: Column, trees: Trees) -> Column:
     """The verdict `kept` on a text; false for a null one."""
 
-    @F.pandas_udf("boolean")
-    def verdict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def verdict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for part in parts:
-            found = [statistics(s or "") for s in part]
+            found = [statistics(s or "") for at in range(0, len(part), 512) for s in part.slice(at, 512).to_pylist()]
             p = trees.probability(np.array([x for _, x in found]).reshape(-1, len(FEATURES)))
-            yield pd.Series([not base_failed(c[0], c[4]) and bool(q >= KEEP) for (c, _), q in zip(found, p)], dtype="bool")
+            yield pa.array([not base_failed(c[0], c[4]) and bool(q >= KEEP) for (c, _), q in zip(found, p)], pa.bool_())
 
     return verdict(text)
 

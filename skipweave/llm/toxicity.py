@@ -13,19 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import Logistic
-from .common import Memo, held_out, shared_dir, slices, texts_of, training_texts
+from .common import Memo, held_out, let_go, shared_dir, slices, texts_of, training_texts
 
 #: Labelled rows that the model is fitted on, at most; the first two thirds give the log-odds, the rest the calibration.
 TRAINING_ROWS = 12_000
 #: Tokens and stems of the model, at most: those with the largest z.
 MODEL_TOKENS = 50_000
-#: Weight of the prior, as a share of each token's count in all training documents.
+#: Weight of the Dirichlet prior, as a share of the training documents: each label's documents are joined by this share of
+#: as many more, in which tokens are as frequent as in all documents.
 PRIOR = 0.05
 #: Least log-odds that is kept, and least z; weaker tokens are left to chance.
 LEAST_ODDS = 3.0
@@ -137,27 +137,22 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     counts = seen.where("fold < 2").select("text", "y").mapInArrow(_token_documents, "token string, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     documents = {bool(y): n for y, n in seen.where("fold < 2").groupBy((F.col("y") > 0).alias("y")).count().collect()}
     n_clean, n_toxic = documents.get(False, 0) + 1.0, documents.get(True, 0) + 1.0
-    prior = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR)
-    counts = counts.withColumn("odds", F.log((F.col("toxic") + prior) / n_toxic) - F.log((F.col("clean") + prior) / n_clean))
-    counts = counts.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)))
+    both, n = F.col("toxic") + F.col("clean"), n_clean + n_toxic
+    toxic, clean = F.col("toxic") + both * (PRIOR * n_toxic / n), F.col("clean") + both * (PRIOR * n_clean / n)
+    counts = counts.withColumn("odds", F.log(toxic / (n_toxic * (1 + PRIOR))) - F.log(clean / (n_clean * (1 + PRIOR))))
+    counts = counts.withColumn("z", F.col("odds") / F.sqrt(1 / toxic + 1 / clean))
     kept = counts.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).select("token", "odds", "clean", "toxic").collect()
     model = Model({r.token: r.odds for r in kept}, 1.0, 0.0)
 
-    rest = _profile(seen.where("fold = 2").select("text", "y"), model)
-    clean = [r for r in rest if not r["y"]]
-    model.rate, model.log_k = extreme_value_law([s for r in clean for s in r["scores"]], sum(r["n_words"] for r in clean))
-    memo_free = [(_sums(model, r), r["y"]) for r in rest]
-    model.calibrate = Logistic(np.array([f for f, _ in memo_free], float).reshape(-1, 3), np.array([y > 0 for _, y in memo_free], float))
+    rest = seen.where("fold = 2").select("text", "y")
+    model.rate, model.log_k = extreme_value_law(*_segment_totals(rest.where("y = 0"), model))
+    found = _features(rest, model)
+    model.calibrate = Logistic(np.array([r[1:] for r in found], float).reshape(-1, 3), np.array([r[0] > 0 for r in found], float))
     return model
 
 
-def _sums(model: Model, r: dict) -> tuple[float, float, float]:
-    found = [z for s in r["scores"] if (z := model.rate * s - model.log_k - np.log(max(1, r["n_words"]))) > 0]
-    return (min(sum(found), 60.0), min(max(found, default=0.0), 40.0), float(bool(found)))
-
-
-def _profile(rows: DataFrame, model: Model) -> list[dict]:
-    """Of each calibration row: y, its number of words, and its largest 64 segment scores."""
+def _segment_totals(rows: DataFrame, model: Model) -> tuple[int, float, float, int]:
+    """Of all segments of the texts: number, sum and least of the scores; and the words of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.memo()
@@ -165,22 +160,36 @@ def _profile(rows: DataFrame, model: Model) -> list[dict]:
             out = []
             for text in texts_of(batch):
                 words, scores = token_scores(text, memo)
-                out.append((len(words), sorted((s for *_, s in segments(scores, DRIFT)), reverse=True)[:64]))
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "n_words": pa.array([n for n, _ in out], pa.int64()), "scores": pa.array([s for _, s in out], pa.list_(pa.float64()))})
+                found = [s for *_, s in segments(scores, DRIFT)]
+                out.append((len(found), sum(found), min(found, default=None), len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["n", "total", "least", "n_words"])
+
+    r = rows.select("text").mapInArrow(run, "n long, total double, least double, n_words long").agg(F.sum("n"), F.sum("total"), F.min("least"), F.sum("n_words")).first()
+    return r[0] or 0, r[1] or 0.0, 1.0 if r[2] is None else r[2], r[3] or 0
+
+
+def _features(rows: DataFrame, model: Model) -> list[tuple]:
+    """Of each calibration row: y, then the features by which texts are scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = model.memo()
+        for batch in slices(batches):
+            x = np.array([model.features(s, memo) for s in texts_of(batch)], float).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(x[:, k]) for k in range(3))], ["y", "a", "b", "c"])
 
-    return [r.asDict() for r in rows.mapInArrow(run, "y int, n_words long, scores array<double>").collect()]
+    return [tuple(r) for r in rows.select("y", "text").mapInArrow(run, "y int, a double, b double, c double").collect()]
 
 
-def extreme_value_law(scores: list[float], n_words: int) -> tuple[float, float]:
-    """lambda and log K of E(segments of at least s) = K n exp(-lambda s), from the segments of clean texts.
+def extreme_value_law(n: int, total: float, least: float, n_words: int) -> tuple[float, float]:
+    """lambda and log K of E(segments of at least s) = K n exp(-lambda s), from the n segments of clean texts: the sum and
+    the least of their scores, and the texts' words.
 
     Scores above the least one fall off exponentially; the maximum-likelihood lambda is one over their mean excess, here
     with one pseudo-segment of excess 1, so that few or no segments still give a law.
     """
-    least = min(scores, default=1.0)
-    excess = sum(s - least for s in scores) + 1.0
-    rate = float(np.clip((len(scores) + 1) / excess, 0.3, 3.0))
-    return rate, float(np.log((len(scores) + 0.5) / (n_words + 1.0)) + rate * least)
+    excess = total - n * least + 1.0
+    rate = float(np.clip((n + 1) / excess, 0.3, 3.0))
+    return rate, float(np.log((n + 0.5) / (n_words + 1.0)) + rate * least)
 
 
 def toxicity(docs: DataFrame, model: Model, with_passages: bool = False) -> DataFrame:
@@ -209,11 +218,12 @@ def toxicity(docs: DataFrame, model: Model, with_passages: bool = False) -> Data
 def is_toxic(text: Column, model: Model, threshold: float = 0.5) -> Column:
     """Whether a text's score is at least the threshold; false for a null text's score below it."""
 
-    @F.pandas_udf("boolean")
-    def verdict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def verdict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         memo = model.memo()
         for part in parts:
-            yield pd.Series([bool(p >= threshold) for at in range(0, len(part), 512) for p in model.scores([s or "" for s in part.iloc[at : at + 512]], memo)], dtype="bool")
+            yield pa.array([bool(p >= threshold) for at in range(0, len(part), 512) for p in model.scores([s or "" for s in part.slice(at, 512).to_pylist()], memo)], pa.bool_())
 
     return verdict(text)
 

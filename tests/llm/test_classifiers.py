@@ -50,9 +50,10 @@ def test_segments_are_all_maximal():
 
 def test_extreme_value_law():
     rng = np.random.default_rng(0)
-    rate, log_k = toxicity.extreme_value_law((2 + rng.exponential(0.5, 5000)).tolist(), 1_000_000)
+    scores = 2 + rng.exponential(0.5, 5000)
+    rate, log_k = toxicity.extreme_value_law(5000, float(scores.sum()), float(scores.min()), 1_000_000)
     assert rate == pytest.approx(2, rel=0.1) and np.exp(log_k) * 1_000_000 * np.exp(-rate * 2) == pytest.approx(5000, rel=0.05)
-    assert all(map(np.isfinite, toxicity.extreme_value_law([], 0)))
+    assert all(map(np.isfinite, toxicity.extreme_value_law(0, 0.0, 1.0, 0)))
 
 
 def test_logistic_without_one_class():
@@ -77,6 +78,73 @@ def test_held_out_accuracy(spark, name, label, least):
     assert all(r.predicted == int(r.score >= limit) for r in known)
 
 
+def test_toxicity_fit_by_brute_force(spark):
+    """Log-odds, law and features of a model against counts over the same rows by plain Python."""
+    from pyspark.sql import types as T
+
+    shared_dir(spark)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    seen = {}
+    for r in docs.join(labels.where(~held_out(F.col("doc_id"))), "doc_id").select("text", "toxic").collect():
+        seen[r.text or ""] = max(r.toxic, seen.get(r.text or "", 0))
+    folds = {r.text: r.fold for r in spark.createDataFrame([(t,) for t in seen], T.StructType([T.StructField("text", T.StringType())])).select("text", F.pmod(F.xxhash64("text"), F.lit(3)).alias("fold")).collect()}
+    docs_with = {0: Counter(), 1: Counter()}
+    n = {0: 1.0, 1: 1.0}
+    for t, y in seen.items():
+        if folds[t] < 2:
+            n[y] += 1
+            docs_with[y].update({k for w in quality_words(t) if toxicity.normal(w) for k in toxicity.keys(toxicity.normal(w))})
+    whole, want = n[0] + n[1], {}
+    for k in docs_with[0].keys() | docs_with[1].keys():
+        both = docs_with[0][k] + docs_with[1][k]
+        a, b = (docs_with[y][k] + toxicity.PRIOR * both * n[y] / whole for y in (1, 0))
+        odds = np.log(a / (n[1] * (1 + toxicity.PRIOR))) - np.log(b / (n[0] * (1 + toxicity.PRIOR)))
+        if odds >= toxicity.LEAST_ODDS and odds / np.sqrt(1 / a + 1 / b) >= toxicity.LEAST_Z:
+            want[k] = odds
+    assert set(model.odds) == set(want) and all(model.odds[k] == pytest.approx(v) for k, v in want.items())
+    memo, total, words = model.memo(), [], 0
+    for t, y in seen.items():
+        if folds[t] == 2 and not y:
+            own, scores = toxicity.token_scores(t, memo)
+            words += len(own)
+            total += [s for *_, s in slow_segments(list(scores), toxicity.DRIFT)] if len(own) < 40 else [s for *_, s in toxicity.segments(scores, toxicity.DRIFT)]
+    assert (model.rate, model.log_k) == pytest.approx(toxicity.extreme_value_law(len(total), sum(total), min(total, default=1.0), words))
+
+
+def quality_words(text):
+    return set(toxicity._words(text))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9])
+def test_toxic_words_are_learnt_whatever_their_share(spark, share):
+    shared_dir(spark)
+    toxic = lambda k: k % 10 < share * 10
+    docs = spark.createDataFrame([(k, f"plain words number{k} of no note at all " + ("you rotten gnat " if toxic(k) else "") + "and more plain words") for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(toxic(k))) for k in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {"rotten", "gnat"} <= set(model.odds)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    assert all((got[k] >= 0.5) == toxic(k) for k in range(600))
+
+
+def test_compression_by_brute_force(spark):
+    """Sizes against one-shot compression of the blocks, and the score against the difference alone."""
+    import zstandard
+
+    shared_dir(spark)
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality_classifier.fit(docs, labels)
+    slim = zstandard.ZstdCompressionParameters.from_level(quality_classifier.LEVEL, write_content_size=0, write_dict_id=0)
+    size = lambda data, d: sum(len(zstandard.ZstdCompressor(compression_params=slim, **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {})).compress(data[k : k + 2048])) for k in range(0, len(data), 2048))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.limit(60).collect()}
+    rows = [r for r in quality_classifier.quality(docs, model).collect() if r.doc_id in texts]
+    for r in rows:
+        data = texts[r.doc_id]
+        want = (size(data, model.bad) - size(data, model.good)) / size(data, b"") if data else 0.0
+        assert r.difference == pytest.approx(want)
+
+
 def test_held_out_rows_are_never_learnt(spark):
     labels = table(spark, SF, "labels")
     assert labelled(labels, "toxic", 10**6).where(held_out(F.col("doc_id"))).count() == 0
@@ -126,7 +194,7 @@ def test_boosting():
     x = rng.normal(size=(1500, 3))
     y = (x[:, 0] + 0.6 * np.sin(3 * x[:, 1]) + 0.2 * rng.normal(size=1500)) > 0
     trees = boosting.train(x, y, (1, 0, -1))
-    assert (trees.probability(x) > 0.5).astype(bool).tolist().count(True) and ((trees.probability(x) > 0.5) == y).mean() > 0.93
+    assert ((trees.probability(x) > 0.5) == y).mean() > 0.93
     grid = np.repeat(rng.normal(size=(50, 3)), 40, axis=0)
     for f, sign in ((0, 1), (2, -1)):
         moved = grid.copy()
