@@ -52,7 +52,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.segments(token_output.pack_matrices(table(spark, sf_dir, "documents")))
+    folder = fresh_dir(spark, "tokens")
+    files = token_output.write_binary(token_output.pack_matrices(table(spark, sf_dir, "documents")), folder)
+    return token_output.segments(token_output.read_binary(files, folder, files.count()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_quality_rules, op4_token_counts, op5_quality_classifier, op6_warc, op7_fingerprints, op8_near_dedup, op9_bpe_codec, op10_token_output)}

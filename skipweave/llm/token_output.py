@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import file_system, slices, texts_of
 from .packing import PER_TASK, Piece, Window
 from .word_tokens import END, VOCABULARY, word_tokens
 
@@ -97,7 +97,10 @@ def matrix_rows(windows: Iterator[Window], first: int, capacity: int, pad: int)
         bounds = [0]
         for p in window.pieces:
             at = bounds[-1]
-            ids[at : at + len(p)] = np.frombuffer(p.ids, "<u4")
+            own = np.frombuffer(p.ids, "<u4")
+            if own.max(initial=0) > 65_535:
+                raise ValueError("ids of 65,536 and more do not fit a matrix of 16-bit ids")
+            ids[at : at + len(p)] = own
             positions[at : at + len(p)] = np.arange(len(p))
             bounds.append(at + len(p))
         rows.append((number, window.fill, ids.tobytes(), [p.doc_id for p in window.pieces], [p.start for p in window.pieces], bounds, positions.tobytes()))
@@ -114,8 +117,10 @@ def pack_matrices(docs: DataFrame, path: str = VOCABULARY, capacity: int = 4096,
     docs: doc_id and text, other columns are left out. Documents are their text's ids and `end`; those longer than
     `capacity` are split without loss. A null text counts as an empty one; rows with equal or null ids are packed one by
     one; an empty table gives no row. Each task gathers lots of `lot_tokens` ids of its own partition; windows that a lot
-    leaves open are open to the next. Nothing is shuffled. Ids must be below 65,536.
+    leaves open are open to the next. Nothing is shuffled. Ids of 65,536 and more, and a larger capacity, raise an error.
     """
+    if capacity > 65_536:
+        raise ValueError("positions beyond 65,535 do not fit 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, packer = word_tokens(path), BestFitDecreasing(capacity)
@@ -138,29 +143,96 @@ def pack_matrices(docs: DataFrame, path: str = VOCABULARY, capacity: int = 4096,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, COLUMNS)
 
 
+#: The files of a task, by what they hold: rows of the id matrix (unsigned 16-bit), for each token a bit that tells
+#: whether positions start again there (lowest bit first), cumulative lengths of pieces (32-bit, a leading 0 for each
+#: row), and the pieces' documents (64-bit, NO_ID for none) and starts in them (64-bit).
+FILES = ("ids", "resets", "cu_seqlens", "doc_ids", "doc_starts")
+NO_ID = -(2**63)
+#: Sequences that are read from the files at a time, and bytes of a file's part that is read for their pieces.
+READ_ROWS = 256
+READ_BYTES = 1 << 18
+
+
 def write_binary(packed: DataFrame, folder: str) -> DataFrame:
-    """Writes each task's sequences below `folder`, which all executors must share: NAME.ids and NAME.positions hold the
-    matrices' rows one after another, NAME.cu_seqlens the int32 cumulative lengths with a leading 0 for each row.
+    """Writes the rows of pack_matrices() to binary files below `folder`, which all executors must share, NAME.KIND for each
+    kind of FILES; returns (name, first_sequence, n_rows, n_tokens, n_bounds), read back from `folder`.
 
-    Returns (name, n_rows, n_tokens, n_bounds). Its rows must be kept (written or checkpointed) before use: a task that
-    is run again writes files of another name, and only those named in the kept rows count.
+    A task that is run again writes files of another name, and only files of the attempts that Spark committed are in the
+    returned list. An empty table gives no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = fs.FileSystem.from_uri(folder)
-        where.create_dir(base, recursive=True)
+        where, base = file_system(folder)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
+        first = None
         rows = tokens = bounds = 0
-        with where.open_output_stream(f"{base}/{name}.ids") as ids, where.open_output_stream(f"{base}/{name}.positions") as positions, where.open_output_stream(f"{base}/{name}.cu_seqlens") as lengths:
+        with ExitStack() as stack:
+            files: dict = {}
             for batch in batches:
-                for x, y, z, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "position_ids", "cu_seqlens", "n_tokens"))):
-                    ids.write(x)
-                    positions.write(y)
-                    lengths.write(np.array(z, "<i4").tobytes())
-                    rows, tokens, bounds = rows + 1, tokens + n, bounds + len(z)
-        yield pa.RecordBatch.from_pydict({"name": [name], "n_rows": [rows], "n_tokens": [tokens], "n_bounds": [bounds]})
-
-    return packed.mapInArrow(run, "name string, n_rows long, n_tokens long, n_bounds long")
+                if batch.num_rows and first is None:
+                    where.create_dir(base, recursive=True)
+                    files = {kind: stack.enter_context(where.open_output_stream(f"{base}/{name}.{kind}", compression=None)) for kind in FILES}
+                    first = batch.column("sequence_id")[0].as_py()
+                for ids, ends, doc_ids, starts, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "cu_seqlens", "doc_ids", "doc_starts", "n_tokens"))):
+                    resets = np.zeros(len(ids) // 2, np.uint8)
+                    resets[ends[:-1]] = 1
+                    files["ids"].write(ids)
+                    files["resets"].write(np.packbits(resets, bitorder="little").tobytes())
+                    files["cu_seqlens"].write(np.array(ends, "<i4").tobytes())
+                    files["doc_ids"].write(np.array([NO_ID if d is None else d for d in doc_ids], "<i8").tobytes())
+                    files["doc_starts"].write(np.array(starts, "<i8").tobytes())
+                    rows, tokens, bounds = rows + 1, tokens + n, bounds + len(ends)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, first, rows, tokens, bounds)], ["name", "first_sequence", "n_rows", "n_tokens", "n_bounds"])
+
+    kind = "name string, first_sequence long, n_rows long, n_tokens long, n_bounds long"
+    packed.mapInArrow(run, kind).write.parquet(f"{folder}/files")
+    return packed.sparkSession.read.schema(kind).parquet(f"{folder}/files")
+
+
+def read_binary(files: DataFrame, folder: str, n_files: int, capacity: int = 4096) -> DataFrame:
+    """The rows that write_binary() wrote, as pack_matrices() gave them, from the files alone. Each file is read by one task
+    in parts of READ_ROWS sequences; files that are too short or that disagree raise an error. n_files: for the number of
+    tasks."""
+
+    def exactly(stream, size: int) -> bytes:
+        data = stream.read(size)
+        if len(data) != size:
+            raise ValueError("a file ends within a sequence")
+        return data
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = file_system(folder)
+        for batch in batches:
+            for name, first, n_rows, n_tokens in zip(*(batch.column(c).to_pylist() for c in ("name", "first_sequence", "n_rows", "n_tokens"))):
+                with ExitStack() as stack:
+                    ids, resets, lengths, doc_ids, starts = (stack.enter_context(where.open_input_stream(f"{base}/{name}.{kind}", compression=None)) for kind in FILES)
+                    held, found = np.zeros(0, "<i4"), 0
+                    for at in range(0, n_rows, READ_ROWS):
+                        many = min(READ_ROWS, n_rows - at)
+                        while (zeros := np.flatnonzero(held == 0)).size <= many and (more := lengths.read(READ_BYTES)):
+                            held = np.r_[held, np.frombuffer(more, "<i4")]
+                        cuts = [*zeros[: many + 1].tolist(), len(held)][: many + 1]
+                        matrix = np.frombuffer(exactly(ids, 2 * capacity * many), "<u2").reshape(many, capacity)
+                        marks = np.unpackbits(np.frombuffer(exactly(resets, -(-capacity // 8) * many), np.uint8).reshape(many, -1), axis=1, count=capacity, bitorder="little")
+                        rows = []
+                        for k in range(many):
+                            bounds = held[cuts[k] : cuts[k + 1]]
+                            begins = np.flatnonzero(marks[k])
+                            if not np.array_equal(begins, bounds[:-1]):
+                                raise ValueError("position resets and cumulative lengths disagree")
+                            pieces = len(begins)
+                            documents, begun = (np.frombuffer(exactly(f, 8 * pieces), "<i8").tolist() for f in (doc_ids, starts))
+                            positions = np.zeros(capacity, "<u2")
+                            positions[: bounds[-1]] = np.arange(bounds[-1]) - np.repeat(begins, np.diff(bounds))
+                            found += int(bounds[-1])
+                            rows.append((first + at + k, int(bounds[-1]), matrix[k].tobytes(), [None if d == NO_ID else d for d in documents], begun, bounds.tolist(), positions.tobytes()))
+                        held = held[cuts[many] :]
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SCHEMA)], schema=SCHEMA)
+                    if found != n_tokens:
+                        raise ValueError("the files hold another number of tokens than was written")
+
+    return files.repartition(max(1, n_files)).mapInArrow(run, COLUMNS)
 
 
 def segments(packed: DataFrame) -> DataFrame:
