@@ -1,7 +1,7 @@
 """WARC archives as a table of payload chunks (operator 6).
 
-Neither side holds a record's payload: it passes as chunks of bounded size, each with its record's identifier, its number
-and the digest of the payload so far.
+The pages table holds a payload as one value; from there on it passes as chunks of bounded size, each with its record's
+identifier and its number, and both the writer and the reader carry the digest of the payload so far from chunk to chunk.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES
+from .common import BATCH_BYTES, file_system
 
 #: Bytes of a payload chunk, at most.
 CHUNK = 1 << 20
@@ -79,20 +78,25 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     A null html counts as an empty one, a null url becomes about:blank. Rows with equal ids each give a record; of equal
     payloads those with the smallest id are responses. A null id gives a record without a number and is never the
     smallest. An empty table gives no file. A task that is run again writes files of another name, and only files of the
-    attempts that Spark committed are in the returned list.
+    attempts that Spark committed are in the returned list. A response whose chunks do not add up to the digest and length
+    that its head states raises an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = file_system(folder)
         name, n, out, gzip = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", 0, None, None
+        so_far, size, due = hashlib.sha1(), 0, None
 
         def end() -> None:
+            if due is not None and due != (so_far.hexdigest(), size):
+                raise ValueError("a payload's chunks differ from its digest or length")
             out.write(gzip.compress(b"\r\n\r\n") + gzip.flush())
 
         try:
             for batch in batches:
-                for k in range(batch.num_rows):
-                    page_id, url, payload_bytes, sha1, refers_to, chunk_no, chunk = (batch.column(c)[k].as_py() for c in range(7))
+                chunks = batch.column("chunk")
+                heads = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload_bytes", "sha1", "refers_to", "chunk_no")]
+                for k, (page_id, url, payload_bytes, sha1, refers_to, chunk_no) in enumerate(zip(*heads)):
                     if out is None:
                         where.create_dir(base, recursive=True)
                         out = where.open_output_stream(f"{base}/{name}", compression=None)
@@ -100,7 +104,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
                         if n:
                             end()
                         n, gzip = n + 1, zlib.compressobj(LEVEL, wbits=31)
+                        so_far, size, due = hashlib.sha1(), 0, (sha1, payload_bytes) if refers_to is None else None
                         out.write(gzip.compress(record_head(page_id, url, payload_bytes, bytes.fromhex(sha1), refers_to)))
+                    chunk = chunks[k].as_buffer()
+                    so_far.update(chunk)
+                    size += len(chunk)
                     out.write(gzip.compress(chunk))
             if n:
                 end()
@@ -160,17 +168,28 @@ class Source:
 
 
 def chunks_of(source: Source, chunk: int = CHUNK) -> Iterator[dict]:
-    """The chunk rows of a file's records, one at a time."""
+    """The chunk rows of a file's records, one at a time.
+
+    Records of other kinds than response and revisit (warcinfo, request, metadata, ...) pass with their whole block as
+    payload. Digests and lengths are held against those that the record states, where it states them in this form; a
+    revisit without them gives null. A record without a Content-Length raises an error, as nothing tells where it ends.
+    """
     number = lambda s: int(s) if s and s.lstrip("-").isdigit() else None
     while head := source.until(b"\r\n\r\n"):
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("no WARC record where one is due")
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:] if line)}
-        http = source.until(b"\r\n\r\n")
-        left = int(fields["content-length"]) - len(http)
-        kind, stated = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix(SHA1_BASE32)
-        whole = next(int(v) for k, _, v in (line.partition(":") for line in http.decode().split("\r\n")) if k.lower() == "content-length")
+        if not fields.get("content-length", "").isdigit() or "warc-type" not in fields or "warc-record-id" not in fields:
+            raise ValueError("a record without type, identifier or length")
+        kind, left = fields["warc-type"], int(fields["content-length"])
+        web = kind in ("response", "revisit") and fields.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+        http = source.until(b"\r\n\r\n") if web and left else b""
+        left -= len(http)
+        digest = fields.get("warc-payload-digest" if web else "warc-block-digest", "")
+        stated = digest.removeprefix(SHA1_BASE32) if digest.startswith(SHA1_BASE32) else None
+        encoded = any(line.lower().startswith("transfer-encoding:") for line in http.decode("utf-8", "replace").split("\r\n"))
+        whole = next((int(v) for k, _, v in (line.partition(":") for line in http.decode("utf-8", "replace").split("\r\n")) if k.lower() == "content-length" and v.strip().isdigit()), None)
         row = {
             "record_id": fields["warc-record-id"].strip("<>"), "record_type": kind, "page_id": number(fields["warc-record-id"].strip("<>").removeprefix(ID)),
             "refers_to": number(fields.get("warc-refers-to", "").strip("<>").removeprefix(ID)),
@@ -184,10 +203,10 @@ def chunks_of(source: Source, chunk: int = CHUNK) -> Iterator[dict]:
             data = b"".join(parts)
             sha1.update(data)
             at += size
-            so_far = base32(sha1.digest()) if kind == "response" else stated
-            if not left and kind == "response" and (so_far != stated or at != whole):
+            so_far = base32(sha1.digest()) if kind != "revisit" else stated
+            if not left and kind != "revisit" and not encoded and (so_far != (stated or so_far) or at != (at if whole is None else whole)):
                 raise ValueError(f"{row['record_id']}: the payload differs from its digest or length")
-            yield row | {"chunk_no": chunk_no, "chunk": data, "bytes_so_far": at if kind == "response" else whole, "digest_so_far": so_far, "is_last": not left}
+            yield row | {"chunk_no": chunk_no, "chunk": data, "bytes_so_far": at if kind != "revisit" else whole, "digest_so_far": so_far, "is_last": not left}
             chunk_no += 1
             if not left:
                 break
@@ -209,7 +228,7 @@ def read_archives(files: DataFrame, n_files: int, chunk: int = CHUNK) -> DataFra
         size = 0
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                where, name = fs.FileSystem.from_uri(path)
+                where, name = file_system(path)
                 with where.open_input_stream(name, compression=None) as stream:
                     for row in chunks_of(Source(stream), chunk):
                         rows.append(row)
@@ -225,5 +244,5 @@ def read_archives(files: DataFrame, n_files: int, chunk: int = CHUNK) -> DataFra
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """A row for each record, from its last chunk."""
-    return chunks.where("is_last").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+    """A row for each response and revisit, from its last chunk."""
+    return chunks.where("is_last and record_type in ('response', 'revisit')").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
