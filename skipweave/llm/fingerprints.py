@@ -9,8 +9,8 @@ from .common import shared_dir
 
 #: 64-bit words of a fingerprint.
 WORDS = 4
-#: Order ranges that next_texts() sorts apart, at most.
-MOST_RANGES = 4096
+#: Ranges of ids for each shuffle partition that with_next() sorts apart.
+RANGES = 4
 
 
 def canonical(text: Column) -> Column:
@@ -66,11 +66,11 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
 
     Rows are dealt to ranges of ids of about equal size; the first rows of each range are sent to the range before it as
     well, as its last neighbours. So there is one shuffle of the texts and no sort of all rows in one task. The driver
-    sees MOST_RANGES numbers at most.
+    sees RANGES numbers for each shuffle partition.
     """
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     spark = docs.sparkSession
-    ranges = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = [k / ranges for k in range(1, ranges)]
     bounds = sorted(set(docs.select(F.percentile_approx(key, steps, 20 * ranges)).first()[0] or []))
     heads = {r.r: r.head for r in docs.groupBy(_range_of(key, bounds).alias("r")).agg(F.min(key).alias("head")).collect()}

@@ -21,8 +21,8 @@ from .common import held_out, shared_dir, slices, texts_of, training_texts
 
 #: Labelled rows that the model is fitted on, at most: half of them (by a hash) for the dictionaries, half to calibrate.
 TRAINING_ROWS = 8_000
-#: Samples that a training text gives a dictionary, at most: blocks spread evenly over the whole text.
-BLOCKS_PER_TEXT = 4
+#: Blocks of training texts that each of the two dictionaries is built from, at most: drawn by a hash from all of them.
+SAMPLES = 4_000
 #: Texts are compressed in blocks of so many bytes, so that the dictionary counts to the end of a long one.
 BLOCK = 2048
 DICTIONARY = 112 << 10
@@ -75,23 +75,24 @@ def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         ys, out = [], []
         for text, y in zip(texts_of(batch), batch.column("y").to_pylist()):
-            parts = blocks(text.encode("utf-8", "replace"))
-            for k in sorted({len(parts) * i // BLOCKS_PER_TEXT for i in range(BLOCKS_PER_TEXT)} if parts else ()):
+            for part in blocks(text.encode("utf-8", "replace")):
                 ys.append(y)
-                out.append(parts[k])
+                out.append(part)
         yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "sample": pa.array(out, pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, samples: int = SAMPLES) -> Model:
     """A model from at most `rows` labelled rows outside the held-out fifth.
 
-    The samples sent to the driver are bounded by rows * BLOCKS_PER_TEXT * BLOCK bytes. Without labelled rows, or with
+    Each dictionary is built from at most `samples` blocks of the texts of half of these rows; no other blocks are sent to
+    the driver. The other half calibrates. Without labelled rows, or with
     rows of one label only, every score is the smoothed share of that label.
     """
     shared_dir(docs.sparkSession)
     seen = training_texts(docs, labels, "quality", rows).select("doc_id", "text", "y").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2))).checkpoint()
-    samples = seen.where("fold = 0").select("text", "y").mapInArrow(_samples, "y int, sample binary").collect()
-    model = Model(*(dictionary([bytes(r.sample) for r in samples if r.y == y]) for y in (1, 0)))
+    found = seen.where("fold = 0").select("text", "y").mapInArrow(_samples, "y int, sample binary")
+    drawn = lambda y: found.where(F.col("y") == y).orderBy(F.xxhash64("sample"), "sample").limit(samples).collect()
+    model = Model(*(dictionary([bytes(r.sample) for r in drawn(y)]) for y in (1, 0)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.compressors()
