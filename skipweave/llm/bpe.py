@@ -12,6 +12,8 @@ import base64
 import json
 import struct
 from bisect import bisect_left, bisect_right
+from collections import deque
+from collections.abc import Iterator
 from pathlib import Path
 
 from .common import Memo
@@ -152,6 +154,33 @@ class PrefixCounts:
         self.child: dict[int, int] = {}
         self.last, self.count, self.at = [-1], [0], [0]
 
+    #: Bytes of the pieces that the trie holds, at most; longer ones are counted in a table of their own.
+    LONGEST = 1024
+
+    def _long(self, piece: bytes) -> Iterator[int]:
+        """Tokens of piece[:1], piece[:2], ..., piece, holding only as many of them as the longest token has bytes."""
+        endings, pairs, follows = self.endings, self.vocabulary.pairs, self.vocabulary.follows
+        keep = max(map(len, self.vocabulary.tokens))
+        last, count, at, first = [-1], [0], 0, 0  # of the prefixes from `first` bytes on
+        for end, b in enumerate(piece, 1):
+            to = endings.arcs.get(at << 8 | b)
+            at = endings.step(at, b) if to is None else to
+            for token, size in endings.tokens[at]:
+                if end == size:
+                    break
+                left = last[end - size - first]
+                fits = pairs.get((left, token))
+                if follows(left, token) if fits is None else fits:
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
+            count.append(count[end - size - first] + 1)
+            if len(last) > 2 * keep:
+                first += len(last) - keep
+                del last[:-keep], count[:-keep]
+            yield count[-1]
+
     def _walk(self, piece: bytes) -> list[int]:
         """The trie's nodes of b"", piece[:1], ..., piece."""
         if len(self.last) > self.cap:
@@ -187,9 +216,13 @@ class PrefixCounts:
 
     def table(self, piece: bytes) -> list[int]:
         """Tokens of piece[:1], piece[:2], ..., piece."""
+        if len(piece) > self.LONGEST:
+            return list(self._long(piece))
         return [self.count[n] for n in self._walk(piece)[1:]]
 
     def total(self, piece: bytes) -> int:
+        if len(piece) > self.LONGEST:
+            return deque(self._long(piece), 1)[0]
         node = self._walk(piece)[-1]
         return self.count[node]
 
@@ -202,20 +235,30 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary, cap: int = 400_000):
         self.vocabulary, self.endings, self.cap = vocabulary, Endings(vocabulary), cap
         self.sorted = sorted(vocabulary.tokens)
+        self.longer: dict[bytes, tuple[int, ...] | None] = {}  # by beginnings of tokens, so no more than the vocabulary has
         self._clear()
 
     def _barred(self, anchor: int, held: bytes) -> int | tuple[int, ...]:
         """Which longer tokens that begin with `held` may not follow anchor; anchor itself where there are many such."""
-        if not held or held[-1] == 255:
+        longer = self.longer.get(held, self)
+        if longer is self:
+            longer = self.longer[held] = self._longer(held)
+        if longer is None:
             return anchor
+        if anchor < 0 or not longer:
+            return ()
+        follows, pairs = self.vocabulary.follows, self.vocabulary.pairs
+        return tuple([t for t in longer if not (follows(anchor, t) if (fits := pairs.get((anchor, t))) is None else fits)])
+
+    def _longer(self, held: bytes) -> tuple[int, ...] | None:
+        """The longer tokens that begin with `held` and that merges reach; None where there are many."""
+        if not held or held[-1] == 255:
+            return None
         first, end = bisect_right(self.sorted, held), bisect_left(self.sorted, held[:-1] + bytes([held[-1] + 1]))
         if end - first > self.MOST_LONGER:
-            return anchor
-        if anchor < 0:
-            return ()
-        v, pairs = self.vocabulary, self.vocabulary.pairs
-        longer = [v.tokens[b] for b in self.sorted[first:end]]
-        return tuple(t for t in longer if v.spine(t) is not None and not (v.follows(anchor, t) if (fits := pairs.get((anchor, t))) is None else fits))
+            return None
+        v = self.vocabulary
+        return tuple(t for t in (v.tokens[b] for b in self.sorted[first:end]) if v.spine(t) is not None)
 
     #: Longer tokens that are compared to tell states apart, at most.
     MOST_LONGER = 48
@@ -280,6 +323,11 @@ class Transducer:
         for b in piece:
             arc = arcs.get(state << 8 | b)
             if arc is None:
+                if len(self.states) > self.cap:  # also within a long piece; its state alone stays
+                    own = self.states[state]
+                    self._clear()
+                    self.states.append(own)
+                    arcs, state = self.arcs, 1
                 arc = self._step(state, b)
             state, more = arc
             if more:
@@ -304,11 +352,12 @@ class Pieces:
         import regex
 
         self.split_any, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.separators = re.compile("[\x1c-\x1f]").search
         self.join, self.piece = join, Memo(lambda p: of_piece(p.encode("utf-8", "replace")), cap // 16)
         self.chunk = Memo(self._chunk, cap)
 
     def pieces(self, text: str) -> list[str]:
-        return self.split_ascii(text) if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") else self.split_any(text)
+        return self.split_ascii(text) if text.isascii() and not self.separators(text) else self.split_any(text)
 
     def _chunk(self, chunk: str):
         """None where white space stands next to the space before or after the chunk."""
@@ -319,7 +368,7 @@ class Pieces:
     def each(self, text: str):
         """join() of what of_piece gives for each piece of the text."""
         first, *rest = text.split(" ")
-        try:
-            return self.join((self.join(map(self.piece.__getitem__, self.pieces(first))), self.join(map(self.chunk.__getitem__, rest))))
-        except TypeError:
+        rest = list(map(self.chunk.__getitem__, rest))
+        if None in rest:
             return self.join(map(self.piece.__getitem__, self.pieces(text)))
+        return self.join((self.join(map(self.piece.__getitem__, self.pieces(first))), self.join(rest)))

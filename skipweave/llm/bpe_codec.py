@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pieces, Transducer, Vocabulary
-from .common import joined_lists, slices, texts_of
+from .common import joined_lists, kept, slices, texts_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -80,7 +79,7 @@ class Codec:
         yield stream.close()
 
 
-@lru_cache(2)
+@kept
 def codec(path: str) -> Codec:
     return Codec(path)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Pieces, PrefixCounts, Vocabulary
-from .common import slices, texts_of
+from .common import kept, slices, texts_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The string that this vocabulary's library reads as one token wherever it stands in a text; a fixed value of the file.
@@ -20,7 +19,8 @@ SPECIAL = "<|endoftext|>"
 
 
 class TokenCounter:
-    """Counts tokens by dynamic programming over prefixes; each number is what encoding that prefix alone would give."""
+    """Counts tokens by dynamic programming over prefixes; each number is what encoding that prefix alone would give.
+    special: the vocabulary's special string, read as one token; none where it is empty."""
 
     def __init__(self, path: str = VOCABULARY, special: str = SPECIAL):
         self.special, self.counts = special, PrefixCounts(Vocabulary.from_json(path))
@@ -61,12 +61,14 @@ class TokenCounter:
                 out += [before + n for n in self._ordinary(part)]
         return np.array(out, np.int32)
 
-    def longest_within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most `budget` tokens."""
-        return int(np.flatnonzero(self.prefixes(text) <= budget).max(initial=0))
 
+def longest_within(prefix_tokens: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix of at most `budget` tokens, from the counts that prefixes() gave; nothing is encoded
+    again. A longer prefix may have fewer tokens, so the last that fits counts."""
+    return int(np.flatnonzero(prefix_tokens <= budget).max(initial=0))
 
-@lru_cache(2)
+
+@kept
 def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
@@ -89,10 +91,11 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, budget: int | None = N
                 "n_bytes": pa.array([len(s.encode("utf-8", "replace")) for s in texts], pa.int64()),
                 "n_tokens": pa.array([tokens.count(s) for s in texts], pa.int64()),
             }
+            stored = [tokens.prefixes(s) for s in texts] if extra else []
             if budget is not None:
-                columns["cut_chars"] = pa.array([tokens.longest_within(s, budget) for s in texts], pa.int64())
+                columns["cut_chars"] = pa.array([longest_within(p, budget) for p in stored], pa.int64())
             if with_prefixes:
-                columns["prefix_tokens"] = pa.array([tokens.prefixes(s) for s in texts], pa.list_(pa.int32()))
+                columns["prefix_tokens"] = pa.array(stored, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long" + extra)

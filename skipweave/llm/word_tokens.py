@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 
 from .bpe import byte_alphabet
-from .common import Memo
+from .common import Memo, kept
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: The id that ends a document in a packed sequence.
@@ -50,6 +49,6 @@ class WordTokens:
         return ids if end is None else ids + int(end).to_bytes(4, "little")
 
 
-@lru_cache(2)
+@kept
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)

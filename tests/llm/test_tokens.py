@@ -59,7 +59,7 @@ def test_every_prefix(counter, byte_library):
         want = [len(byte_library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
         assert counter.prefixes(text).tolist() == want, text
         for budget in (0, 1, 3):
-            assert counter.longest_within(text, budget) == max(k for k, n in enumerate(want) if n <= budget)
+            assert token_counts.longest_within(counter.prefixes(text), budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
 @settings(max_examples=200, deadline=None)
@@ -100,6 +100,33 @@ def test_streamed_utf8(data, step):
     assert got == data.decode("utf-8", "replace")
 
 
+@pytest.mark.parametrize("longest", [0, 3, 1024])
+def test_long_pieces_by_prefix(monkeypatch, counter, byte_library, longest):
+    """Pieces beyond LONGEST are counted without the trie, by the same recurrence."""
+    monkeypatch.setattr(bpe.PrefixCounts, "LONGEST", longest)
+    rng = random.Random(6)
+    own = token_counts.TokenCounter()
+    for text in TEXTS + random_texts(300, 8) + ["".join(rng.choice("aabbhtein") for _ in range(3000)), "x" * 2500, "é" * 2000]:
+        assert own.count(text) == len(byte_library.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_texts_take_little_memory(codec, rank_library):
+    import tracemalloc
+
+    rng = random.Random(9)
+    text = "".join(rng.choice("aabbhteinorsd") for _ in range(300_000))
+    small = bpe_codec.Codec()
+    small.transducer.cap = 20_000
+    counter = token_counts.TokenCounter()
+    tracemalloc.start()
+    assert counter.count(text * 3) > 100_000
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    want = rank_library.encode_ordinary(text)
+    assert small.encode(text) == struct.pack(f"<{len(want)}i", *want)
+    assert len(small.transducer.states) <= 20_002
+
+
 def test_words():
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     own = word_tokens.WordTokens()
@@ -127,6 +154,17 @@ def test_queries_rows(spark, byte_library, rank_library):
     assert token_counts.token_counts(empty).count() == bpe_codec.encode_texts(empty).count() == 0
 
 
+def test_query_counts(spark, sf_dir, byte_library):
+    from skipweave.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op4_token_counts"](spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        n = len(byte_library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 1024)
+
+
 def test_query_digests(spark, sf_dir, rank_library):
     from skipweave.llm.queries import QUERIES
 
