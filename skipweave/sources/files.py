@@ -12,10 +12,15 @@ from pyspark.sql import SparkSession
 
 
 def file_system(uri: str) -> tuple:
-    """(file system, path) of a folder or file as Spark names it; s3a and s3n are S3 to pyarrow."""
+    """(file system, path) of a folder or file as Spark names it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    return fs.FileSystem.from_uri(known(uri))
+
+
+def known(uri: str) -> str:
+    """The URI as pyarrow names it, to which s3a and s3n are S3."""
+    return re.sub(r"^s3[an]://", "s3://", uri)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -107,12 +107,9 @@ def raw_limits(field: T.DataType, low, high) -> tuple[Column | None, Column | No
         if isinstance(field, T.DoubleType):
             return F.lit(float(limit))
         if isinstance(field, T.FloatType):
-            near = np.float32(limit)
-            if not np.isfinite(near):
+            if abs(limit) > REAL.most:
                 return None
-            if (near < limit) if up else (near > limit):
-                near = np.nextafter(near, np.float32(np.inf if up else -np.inf))
-            return F.lit(float(near)).cast("float")
+            return F.lit(float(np.float32(limit))).cast("float")  # no float lies between the limit and the float nearest to it
         if isinstance(limit, float) and math.isinf(limit):
             return None
         whole = math.ceil(limit) if up else math.floor(limit)
