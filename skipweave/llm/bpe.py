@@ -16,7 +16,10 @@ from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
 
-from .common import Memo
+import numpy as np
+import pyarrow as pa
+
+from .common import Memo, joined_lists
 
 #: The pattern that byte-level vocabularies split text by before merging; fixed by their files' library.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -227,6 +230,40 @@ class PrefixCounts:
         return self.count[node]
 
 
+class Arcs:
+    """Numbers by keys from 0 on, looked up and put in many at a time: arrays with open addressing."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place that it would take."""
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+        there = self.keys[at]
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while left.size:
+            at[left] = after = at[left] + 1 & (1 << self.bits) - 1
+            there = self.keys[after]
+            left = left[(there != keys[left]) & (there >= 0)]
+        return at
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: distinct ones that are not there yet."""
+        self.size += len(keys)
+        if 2 * self.size > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self.__init__(int(4 * self.size).bit_length())
+            self.size = len(keys)
+        while len(keys):
+            at = self.find(keys)
+            self.keys[at] = keys  # of keys that want the same place one gets it
+            got = self.keys[at] == keys
+            self.values[at[got]] = values[got]
+            keys, values = keys[~got], values[~got]
+
+
 class Transducer:
     """Bytes in, token ids out. A state is the last token given out and the bytes since; a token is given out as soon as
     every reading of the bytes to come agrees on it, so at most the longest token's length is held back. States whose
@@ -236,6 +273,7 @@ class Transducer:
         self.vocabulary, self.endings, self.cap = vocabulary, Endings(vocabulary), cap
         self.sorted = sorted(vocabulary.tokens)
         self.longer: dict[bytes, tuple[int, ...] | None] = {}  # by beginnings of tokens, so no more than the vocabulary has
+        self.given: dict[bytes, int] = {b"": 0}
         self._clear()
 
     def _barred(self, anchor: int, held: bytes) -> int | tuple[int, ...]:
@@ -267,8 +305,12 @@ class Transducer:
         self.ids: dict[tuple, int] = {(b"", (), -1): 0}
         #: Anchor, bytes held, their last tokens by end, the ends of the tokens before each end as bits, state in endings.
         self.states: list[tuple] = [(-1, b"", (), (1,), 0)]
+        #: Parts of states, each kept once.
+        self.same: dict = {}
         self.arcs: dict[int, tuple[int, bytes]] = {}
         self.ends: dict[int, bytes] = {}
+        #: For many pieces side by side: arcs as next state << 32 | number in `given`, and what the ends give by state, -1 if not known.
+        self.table, self.closing = Arcs(), np.full(1024, -1, np.int32)
 
     @staticmethod
     def _write(last: tuple[int, ...], ends: int) -> bytes:
@@ -310,10 +352,16 @@ class Transducer:
         key = (held, last, self._barred(anchor, held))
         known = self.ids.get(key)
         if known is None:
-            known = self.ids[key] = len(self.states)
+            known, same = len(self.states), self.same.setdefault
+            held, last, ends, barred = same(held, held), same(last, last), same(ends, ends), same(key[2], key[2])
+            self.ids[held, last, barred] = known
             self.states.append((anchor, held, last, ends, to))
-        arc = self.arcs[state << 8 | b] = (known, out)
-        return arc
+        return known, out
+
+    def _end(self, state: int) -> bytes:
+        """What is given out where a piece ends."""
+        _, _, last, ends, _ = self.states[state]
+        return self._write(last, ends[-1])
 
     def encode(self, piece: bytes) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -328,16 +376,75 @@ class Transducer:
                     self._clear()
                     self.states.append(own)
                     arcs, state = self.arcs, 1
-                arc = self._step(state, b)
+                arc = arcs[state << 8 | b] = self._step(state, b)
             state, more = arc
             if more:
                 out += more
         end = self.ends.get(state)
         if end is None:
-            _, _, last, ends, _ = self.states[state]
-            end = self.ends[state] = self._write(last, ends[-1])
+            end = self.ends[state] = self._end(state)
         return out + end
 
+    #: Pieces that go side by side, at most.
+    LANES = 1 << 15
+
+    def encode_many(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+        """The ids of the pieces data[start : start + size], by the same automaton: all take a byte at a time, side by side."""
+        if len(self.states) > self.cap or len(self.given) > self.cap:
+            self.given = {b"": 0}
+            self._clear()
+        order = np.argsort(-sizes, kind="stable")
+        codes, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(order), self.LANES):
+            lanes = order[at : at + self.LANES]
+            steps = self._side_by_side(data, starts[lanes], sizes[lanes]).T
+            codes.append(steps[steps > 0])
+            counts.append(np.count_nonzero(steps, axis=1))
+        tokens = joined_lists(list(self.given), 4, pa.int32())
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(len(order))
+        return joined(joined(tokens, np.concatenate(codes), np.concatenate(counts)), places)
+
+    def _side_by_side(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What is given out after each byte and at the end, as numbers in `given`; the longest piece comes first."""
+        longest = int(sizes[0])
+        out, state = np.zeros((longest + 1, len(sizes)), np.int32), np.zeros(len(sizes), np.int64)
+        under_way = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")
+        for i, n in enumerate(under_way.tolist()):
+            if len(self.states) > self.cap:  # the states that pieces are in stay
+                now, state = np.unique(state, return_inverse=True)
+                own = [self.states[s] for s in now.tolist()]
+                self._clear()
+                state += len(self.states)
+                self.states += own
+            key = state[:n] << 8 | data[starts[:n] + i]
+            at = self.table.find(key)
+            new = key[self.table.keys[at] != key]
+            if new.size:
+                self._learn(np.unique(new))
+                at = self.table.find(key)
+            to = self.table.values[at]
+            state[:n], out[i, :n] = to >> 32, to & 0xFFFFFFFF
+        if len(self.closing) < len(self.states):
+            self.closing = np.concatenate([self.closing, np.full(len(self.states), -1, np.int32)])
+        for s in np.unique(state[self.closing[state] < 0]).tolist():
+            self.closing[s] = self.given.setdefault(self._end(s), len(self.given))
+        out[longest] = self.closing[state]
+        return out
+
+    def _learn(self, keys: np.ndarray) -> None:
+        arcs = [self._step(k >> 8, k & 255) for k in keys.tolist()]
+        self.table.put(keys, np.array([to << 32 | self.given.setdefault(more, len(self.given)) for to, more in arcs], np.int64))
+
+
+def joined(parts: pa.ListArray, which: np.ndarray, counts: np.ndarray | None = None) -> pa.ListArray:
+    """The lists parts[which]; with counts, the first counts[0] of them as one list, and so on."""
+    taken = parts.take(pa.array(which))
+    if counts is None:
+        return taken
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    return pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[ends]), taken.flatten())
+
 
 class Pieces:
     """Splits text by PATTERN and looks whole space-separated chunks up in a bounded memo.
