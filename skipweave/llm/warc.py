@@ -73,13 +73,13 @@ def record_head(page_id: int | None, url: str | None, payload_bytes: int, sha1:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html; other columns are left out) to .warc.gz files below
-    `folder`, which all executors must share, and returns their (path, n_records), read back from `folder`.
+    `folder`, which all executors must share, and returns their (path, n_records).
 
     A null html counts as an empty one, a null url becomes about:blank. Rows with equal ids each give a record; of equal
     payloads those with the smallest id are responses. A null id gives a record without a number and is never the
     smallest. An empty table gives no file. A task that is run again writes files of another name, and only files of the
-    attempts that Spark committed are in the returned list. A response whose chunks do not add up to the digest and length
-    that its head states raises an error.
+    attempts that Spark accepted are in the returned list, which passes the driver, a row for each task. A response whose
+    chunks do not add up to the digest and length that its head states raises an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +118,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         if n:
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": pa.array([n], pa.int64())})
 
-    files = in_chunks(with_kind(pages, least_bytes)).mapInArrow(run, "path string, n_records long")
-    files.write.parquet(f"{folder}/files")
-    return pages.sparkSession.read.schema("path string, n_records long").parquet(f"{folder}/files")
+    kind = "path string, n_records long"
+    # not a table in `folder`: Hadoop's local file system starts a chmod for each file, which for a moment counts as a second executor
+    return pages.sparkSession.createDataFrame(in_chunks(with_kind(pages, least_bytes)).mapInArrow(run, kind).collect(), kind)
 
 
 class Source:

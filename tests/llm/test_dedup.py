@@ -13,9 +13,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyarrow.fs import FileSelector
 
 from skipweave.llm import components, fingerprints, near_dedup, warc
-from skipweave.llm.common import fresh_dir, shared_dir
+from skipweave.llm.common import file_system, fresh_dir, shared_dir
 from skipweave.llm.queries import QUERIES
 
 # near duplicates
@@ -374,6 +375,15 @@ def test_archives(spark, least):
     assert empty.count() == 0 and warc.read_archives(empty, 0).count() == 0
 
 
+def test_folder_holds_archives_alone(spark):
+    """Spark writes no table of its own beside them, so executors start no process for its files' permissions."""
+    folder = fresh_dir(spark, "warc")
+    files = warc.write_archives(spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3), folder).collect()
+    where, base = file_system(folder)
+    found = [f.path.rpartition("/")[2] for f in where.get_file_info(FileSelector(base, recursive=True))]
+    assert sorted(found) == sorted(f.path.rpartition("/")[2] for f in files) and sum(f.n_records for f in files) == len(PAGES)
+
+
 def test_query_records(spark, sf_dir):
     pages = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
     got = QUERIES["op6_warc"](spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
