@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, slices, texts_of
-from .word_tokens import END, VOCABULARY, word_tokens
+from .word_tokens import END, VOCABULARY, worker_word_tokens
 
 #: Sequences of one task are numbered from its partition's number times this.
 PER_TASK = 1 << 33
@@ -149,7 +149,7 @@ def pack(docs: DataFrame, path: str = VOCABULARY, capacity: int = 4096, end: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = word_tokens(path), SumOfSquares(capacity)
+        tokens, packer = worker_word_tokens(path), SumOfSquares(capacity)
 
         def windows() -> Iterator[Window]:
             for batch in slices(batches, 256):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import file_system, slices, texts_of
 from .packing import PER_TASK, Piece, Window
-from .word_tokens import END, VOCABULARY, word_tokens
+from .word_tokens import END, VOCABULARY, worker_word_tokens
 
 #: Ids that a task gathers before it packs them, largest first; what stays open is carried over to the next such lot.
 LOT_TOKENS = 4 << 20
@@ -123,7 +123,7 @@ def pack_matrices(docs: DataFrame, path: str = VOCABULARY, capacity: int = 4096,
         raise ValueError("positions beyond 65,535 do not fit 16 bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, packer = word_tokens(path), BestFitDecreasing(capacity)
+        tokens, packer = worker_word_tokens(path), BestFitDecreasing(capacity)
 
         def windows() -> Iterator[Window]:
             lot, size = [], 0
@@ -155,10 +155,10 @@ READ_BYTES = 1 << 18
 
 def write_binary(packed: DataFrame, folder: str) -> DataFrame:
     """Writes the rows of pack_matrices() to binary files below `folder`, which all executors must share, NAME.KIND for each
-    kind of FILES; returns (name, first_sequence, n_rows, n_tokens, n_bounds), read back from `folder`.
+    kind of FILES; returns (name, first_sequence, n_rows, n_tokens, n_bounds).
 
-    A task that is run again writes files of another name, and only files of the attempts that Spark committed are in the
-    returned list. An empty table gives no file.
+    A task that is run again writes files of another name, and only files of the attempts that Spark accepted are in the
+    returned list, which passes the driver, a row for each task. An empty table gives no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +186,7 @@ def write_binary(packed: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, first, rows, tokens, bounds)], ["name", "first_sequence", "n_rows", "n_tokens", "n_bounds"])
 
     kind = "name string, first_sequence long, n_rows long, n_tokens long, n_bounds long"
-    packed.mapInArrow(run, kind).write.parquet(f"{folder}/files")
-    return packed.sparkSession.read.schema(kind).parquet(f"{folder}/files")
+    return packed.sparkSession.createDataFrame(packed.mapInArrow(run, kind).collect(), kind)
 
 
 def read_binary(files: DataFrame, folder: str, n_files: int, capacity: int = 4096) -> DataFrame:

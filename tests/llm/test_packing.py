@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
 from skipweave.llm import packing, token_output, word_tokens
 from skipweave.llm.packing import Piece, SumOfSquares
@@ -149,6 +150,26 @@ def test_matrices(spark, tmp_path, lot):
     assert none.count() == 0 and token_output.read_binary(none, f"file://{tmp_path}/none", 0).count() == 0
 
 
+def test_folder_holds_binary_files_alone(spark, tmp_path):
+    """Spark writes no table of its own beside them, so executors start no process for its files' permissions."""
+    files = token_output.write_binary(token_output.pack_matrices(docs_of(spark)), f"file://{tmp_path}").collect()
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"{f.name}.{kind}" for f in files for kind in token_output.FILES)
+
+
+@pytest.mark.parametrize("operator", [packing.pack, token_output.pack_matrices])
+def test_tasks_share_words(spark, operator):
+    """The functions that Spark sends to a worker's tasks find the same words there."""
+
+    class Docs:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    sent = [cloudpickle.loads(cloudpickle.dumps(operator(Docs()))) for _ in range(2)]
+    names = [n for n in sent[0].__globals__ if n.endswith("word_tokens")]
+    first, second = ([f.__globals__[n](word_tokens.VOCABULARY) for n in names] for f in sent)
+    assert names and all(a is b for a, b in zip(first, second))
+
+
 def test_files_that_end_too_soon(spark, tmp_path):
     written = token_output.write_binary(token_output.pack_matrices(docs_of(spark)), f"file://{tmp_path}")
     name = written.first().name

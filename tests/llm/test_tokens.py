@@ -204,6 +204,25 @@ def test_words():
         assert own.encode(text) == struct.pack(f"<{len(want)}I", *want), text
 
 
+@pytest.mark.parametrize("part", [1, 20, 1 << 16])
+def test_words_of_plain_texts(part):
+    """They are split at once, in parts of bounded size, and only chunks of other texts are looked up on their own."""
+    library, rng = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), random.Random(part)
+    own = word_tokens.WordTokens()
+    own.PART = part
+    plain = [c for c in map(chr, range(33, 0x250)) if own.plain(c)]
+    words = ["'s", "''s", "it's's", "'LL", "!'t", "a'reb", "x_1", "42", "Ⱥ", "\n", "", *("".join(rng.choices(plain, k=rng.randint(1, 6))) for _ in range(60))]
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 40)))
+        want = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert own.encode(text) == struct.pack(f"<{len(want)}I", *want), text
+        assert all(len(p) <= part or " " not in p[1:] for p in own._parts(text)) and "".join(own._parts(text)) == text
+    assert not own.chunk and own.piece
+    text = "the cat's <|x|> \t d\u0301 ① end " * 9
+    want = [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert own.encode(text) == struct.pack(f"<{len(want)}I", *want)
+
+
 ROWS = [(1, "The cat's   hat.\n"), (2, None), (3, ""), (3, ""), (None, "null id"), (5, "wörd " * 3000), (6, unicodedata.normalize("NFD", "é ü"))]
 
 
